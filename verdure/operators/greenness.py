@@ -71,9 +71,15 @@ def global_stats(df: DataFrame) -> DataFrame:
         F.avg("cloud_cover").alias("cloud_mean"),
         F.max("cloud_cover").alias("cloud_max"),
     )
-    for column, name in (("ndvi", "ndvi_median"), ("cloud_cover", "cloud_median")):
-        out = out.withColumn(name, exact_quantiles(df, column, [0.5], names=[name]).select(name).scalar())
-    return out
+    # both columns are ranked in one pass
+    long = df.unpivot([], ["ndvi", "cloud_cover"], "column", "value")
+    medians = exact_quantiles(long, "value", [0.5], by=["column"], names=["median"]).agg(
+        F.struct(
+            F.max(F.when(F.col("column") == "ndvi", F.col("median"))).alias("ndvi_median"),
+            F.max(F.when(F.col("column") == "cloud_cover", F.col("median"))).alias("cloud_median"),
+        ).alias("m")
+    )
+    return out.withColumn("_m", medians.scalar()).select(*out.columns, "_m.*")
 
 
 def quality_counts(df: DataFrame) -> DataFrame:
