@@ -18,17 +18,17 @@ def _flow_long(spark, sf_dir):
     return reshape.melt(b.flow_wide(spark, sf_dir), ["site", "ts"], None, "plant_id", "sap_flow")
 
 
-def _archive(spark, sf_dir, compress: bool = False):
-    """A station archive written from the events table: weather, flow and flow flags per site."""
+def _archive(spark, sf_dir, kinds=("env", "sapf"), compress: bool = False):
+    """A station archive written from the events table: weather and flow files per site."""
     root = scratch_path(spark, "archive")
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("TIMESTAMP")
-    env = b.env(spark, sf_dir)
     solar = F.date_format(F.col("ts") + F.expr("INTERVAL 20 MINUTES"), "yyyy-MM-dd HH:mm:ss").alias("TIMESTAMP_solar")
-    sinks.write_station_files(
-        env.select("site", stamp, solar, "ta", "sw_in", F.col("vpd").alias("netrad"), "precip"), root, "env", compress=compress
-    )
-    flow = b.flow_wide(spark, sf_dir)
-    sinks.write_station_files(flow.select("site", stamp, "tree_1", "tree_2"), root, "sapf", compress=compress)
+    if "env" in kinds:
+        env = b.env(spark, sf_dir).select("site", stamp, solar, "ta", "sw_in", F.col("vpd").alias("netrad"), "precip")
+        sinks.write_station_files(env, root, "env", compress=compress)
+    if "sapf" in kinds:
+        flow = b.flow_wide(spark, sf_dir).select("site", stamp, "tree_1", "tree_2")
+        sinks.write_station_files(flow, root, "sapf", compress=compress)
     return root
 
 
@@ -49,7 +49,7 @@ def site_catalog(spark, sf_dir):
     ),
 )
 def csv_scan_roundtrip(spark, sf_dir):
-    root = _archive(spark, sf_dir, compress=True)
+    root = _archive(spark, sf_dir, ["sapf"], compress=True)
     return rounded(stations.read_long(spark, root, "sapf", "data", "plant_id", "sap_flow"), "sap_flow")
 
 
@@ -62,7 +62,7 @@ def csv_scan_roundtrip(spark, sf_dir):
     ),
 )
 def ingest_env(spark, sf_dir):
-    rows = stations.read_wide(spark, _archive(spark, sf_dir), "env", ["ta", "sw_in", "netrad", "precip", "rh"])
+    rows = stations.read_wide(spark, _archive(spark, sf_dir, ["env"]), "env", ["ta", "sw_in", "netrad", "precip", "rh"])
     return rounded(rows, "ta", "sw_in")
 
 

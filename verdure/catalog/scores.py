@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from verdure.catalog.registry import query, rounded
 from verdure.operators import evaluate as ops
 from verdure.operators import splits
+from verdure.operators.joins import lookup_join
 from verdure.operators.metadata import add_columns
 from verdure.plans import bindings as b
 from verdure.plans import models
@@ -212,7 +213,8 @@ def _window_scores(spark, sf_dir):
     )
     placed = splits.rolling_origin(lines, "ts")
     means = placed.where("part = 'train'").groupBy("window", "x").agg(F.avg("value").alias("predicted"))
-    test = placed.where("part = 'test'").join(means, ["window", "x"]).withColumnRenamed("value", "actual")
+    test = lookup_join(placed.where("part = 'test'"), means, ["window", "x"], "inner", derived=True)
+    test = test.withColumnRenamed("value", "actual")
     scores = ops.metrics(test, ["window"]).select("window", F.col("r2").alias("test_r2"))
     profile = splits.window_profile(placed, "ts").select(
         "window", "test_season", F.col("is_seasonal_transition").alias("is_transition")
@@ -291,7 +293,7 @@ def model_blend(spark, sf_dir):
     both = ops.climatology(train, test, ["hour"], "ta", "overall")
     both = ops.climatology(train, both, ["site", "hour"], "ta", "local")
     sizes = train.groupBy("site").agg(F.count(F.lit(1)).alias("train_rows"))
-    out = ops.blend(both.join(F.broadcast(sizes), "site"), "overall", "local", "train_rows", more_than=1450)
+    out = ops.blend(lookup_join(both, sizes, ["site"], "inner", derived=True), "overall", "local", "train_rows", more_than=1450)
     return rounded(out.select("site", "event_id", "predicted"), "predicted")
 
 

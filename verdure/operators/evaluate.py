@@ -94,7 +94,7 @@ def climatology(
     """Forecast by the training mean of the row's group, or the overall training mean if unseen."""
     means = train.groupBy(*by).agg(F.avg(target).alias("_mean"))
     overall = train.agg(F.avg(target).alias("m")).select("m").scalar()
-    joined = lookup_join(test, means, by, "left")
+    joined = lookup_join(test, means, by, "left", derived=True)
     return joined.withColumn(out, F.coalesce("_mean", overall)).drop("_mean")
 
 
@@ -117,7 +117,7 @@ def fold_climatology(
     )
     rows = used.withColumn("fold", F.explode(F.sequence(F.col(block), F.lit(folds - 1)))).where(F.col("fold") > 0)
     part = F.when(F.col(block) == F.col("fold"), "test").otherwise("train")
-    return lookup_join(rows.withColumn("part", part), means, [*by, "fold"], "inner")
+    return lookup_join(rows.withColumn("part", part), means, [*by, "fold"], "inner", derived=True)
 
 
 def left_out_climatology(df: DataFrame, site: str, by: Sequence[str], target: str) -> DataFrame:
@@ -127,10 +127,10 @@ def left_out_climatology(df: DataFrame, site: str, by: Sequence[str], target: st
     """
     own = df.groupBy(*by, site).agg(F.sum(target).alias("_s"), F.count(target).alias("_n"))
     every = own.groupBy(*by).agg(F.sum("_s").alias("_all_s"), F.sum("_n").alias("_all_n"))
-    others = lookup_join(own, every, list(by), "inner").select(
+    others = own.join(every, list(by)).select(
         *by, site, F.try_divide(F.col("_all_s") - F.col("_s"), F.col("_all_n") - F.col("_n")).alias("predicted")
     )
-    return lookup_join(df, others, [*by, site], "inner")
+    return lookup_join(df, others, [*by, site], "inner", derived=True)
 
 
 def blend(
@@ -160,7 +160,7 @@ def prediction_intervals(
     """Test rows with an interval around the prediction from the training residuals of their group."""
     spread = residuals(train, predicted, actual).withColumnRenamed("residual", "_r")
     edges = exact_quantiles(spread, "_r", [low, high], by=by, names=["_low", "_high"])
-    joined = lookup_join(test, edges, list(by), "inner")
+    joined = lookup_join(test, edges, list(by), "inner", derived=True)
     lower, upper = F.col(predicted) + F.col("_low"), F.col(predicted) + F.col("_high")
     return joined.select(
         *test.columns,

@@ -21,6 +21,8 @@ LAGS = (1, 2, 3, 6, 12, 24)
 ROLLING_WIDTHS = (3, 6, 12, 24, 48, 72)
 
 EPSILON = 1e-6
+# Length of a span of a time-based window, in widest windows; 1/8 of the rows are seen twice.
+_SPAN_WINDOWS = 8
 
 
 def lag_columns(
@@ -57,7 +59,7 @@ def lag_features(
     drivers: Sequence[str] = LAG_DRIVERS,
     lags: Sequence[int] = LAGS,
     max_lag: int | None = None,
-    **size: int,
+    **size,
 ) -> DataFrame:
     """Row lags; a lag never crosses from one series into the next."""
     return windowed(
@@ -72,7 +74,7 @@ def rolling_features(
     drivers: Sequence[str] = ROLLING_DRIVERS,
     widths: Sequence[int] = ROLLING_WIDTHS,
     stats: Sequence[str] = ("mean", "std"),
-    **size: int,
+    **size,
 ) -> DataFrame:
     """Rolling statistics over the last rows of the series, the current row included."""
     return windowed(
@@ -88,7 +90,7 @@ def series_features(
     rolling_drivers: Sequence[str] = ROLLING_DRIVERS,
     lags: Sequence[int] = LAGS,
     widths: Sequence[int] = ROLLING_WIDTHS,
-    **size: int,
+    **size,
 ) -> DataFrame:
     """Lags and rolling statistics together in one pass over the sorted series."""
 
@@ -110,17 +112,20 @@ def rolling_mean_time(
     """Mean over the trailing ``h`` hours, ``(t - h, t]``, one row per series and timestamp.
 
     Rows sharing a timestamp share the answer, so they are added up first. The series is then cut
-    into spans as long as the widest window; each span also sees the span before it, which is all a
-    trailing window can reach. A task holds at most the distinct timestamps of two spans.
+    into spans of several widest windows; each span also sees the last window of the span before
+    it, which is all a trailing window can reach. A task sorts the distinct timestamps of one span.
     """
     parts = []
     for d in drivers:
         parts += [F.sum(d).alias(f"_sum_{d}"), F.count(d).alias(f"_n_{d}")]
     per_time = df.groupBy(*keys, ts).agg(*parts)
-    span = max(hours) * 3600 * 1_000_000
+    reach = max(hours) * 3600 * 1_000_000
+    span = _SPAN_WINDOWS * reach
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     placed = per_time.withColumn("_us", micros).withColumn("_own", F.floor(F.col("_us") / F.lit(span)))
-    copied = placed.withColumn("_span", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    near_end = F.pmod("_us", F.lit(span)) >= span - reach
+    spans = F.when(near_end, F.array(F.col("_own"), F.col("_own") + 1)).otherwise(F.array(F.col("_own")))
+    copied = placed.withColumn("_span", F.explode(spans))
     spec = Window.partitionBy(*keys, "_span").orderBy("_us")
     out = []
     for d in drivers:
@@ -133,7 +138,7 @@ def rolling_mean_time(
 
 
 def rolling_slope(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], driver: str, width: int, **size: int
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], driver: str, width: int, **size
 ) -> DataFrame:
     """Least-squares slope of the driver against row position over the last ``width`` rows.
 
@@ -157,7 +162,7 @@ def rolling_slope(
 
 
 def precipitation_features(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], precip: str = "precip", **size: int
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], precip: str = "precip", **size
 ) -> DataFrame:
     """Rain of the row before (0 at the start), sums over 6 and 24 rows, share of the 6-row sum."""
 
@@ -176,5 +181,5 @@ def precipitation_features(
 def relative_to_max(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Value over the greatest value of its group; the maxima are combined map-side, then joined back."""
     tops = df.groupBy(*keys).agg(F.max(value).alias("_top"))
-    joined = lookup_join(df, tops, keys, "left")
+    joined = lookup_join(df, tops, keys, "left", derived=True)
     return joined.withColumn(out, F.col(value) / (F.col("_top") + F.lit(EPSILON))).drop("_top")

@@ -149,7 +149,7 @@ def class_counts(df: DataFrame, report: bool = False) -> DataFrame:
     """Records per vegetation class and their share of all records; records without index have no class."""
     classify = vegetation_class_report if report else vegetation_class
     classes = df.groupBy(classify(F.col("ndvi")).alias("veg_class")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("t")).select("t").scalar()
+    total = F.sum("n").over(Window.partitionBy())  # over the five classes, records without one included
     return classes.withColumn("percent", F.col("n") * F.lit(100.0) / total).where(F.col("veg_class").isNotNull())
 
 
@@ -179,7 +179,7 @@ def cloud_trend(df: DataFrame) -> DataFrame:
 def boxplot(df: DataFrame, by: str, value: str = "ndvi", reach: float = 1.5) -> DataFrame:
     """Quartiles and whiskers per group; whiskers are the extreme values within the fences."""
     quartiles = exact_quantiles(df, value, [0.25, 0.5, 0.75], by=[by], names=["q1", "median", "q3"])
-    joined = lookup_join(df.where(F.col(value).isNotNull()).select(by, value), quartiles, [by], "inner")
+    joined = lookup_join(df.where(F.col(value).isNotNull()).select(by, value), quartiles, [by], "inner", derived=True)
     margin = (F.col("q3") - F.col("q1")) * reach
     low, high = F.col("q1") - margin, F.col("q3") + margin
     inside = F.col(value).between(low, high)
@@ -196,7 +196,7 @@ def boxplot(df: DataFrame, by: str, value: str = "ndvi", reach: float = 1.5) ->
 
 def attach_locations(summary: DataFrame, locations: DataFrame, how: str = "left") -> DataFrame:
     """Site coordinates with the index summary of each site; ``left`` keeps sites without one."""
-    return lookup_join(locations, summary, ["site"], how)
+    return lookup_join(locations, summary, ["site"], how, derived=True)
 
 
 def latitude_bins(located: DataFrame, value: str, latitude: str = "latitude", bins: int = 10) -> DataFrame:
@@ -261,8 +261,9 @@ def seasonal_heatmap(df: DataFrame) -> DataFrame:
     placed = df.select(
         F.year("date").alias("year"), calendar.ten_day_bin(F.dayofyear("date")).alias("doy_bin"), "ndvi"
     )
-    picks = [F.avg(F.when(F.col("doy_bin") == b, F.col("ndvi"))).alias(f"doy_{b}") for b in range(0, 370, 10)]
-    return placed.groupBy("year").agg(*picks)
+    means = placed.groupBy("year", "doy_bin").agg(F.avg("ndvi").alias("mean"))
+    picks = [F.max(F.when(F.col("doy_bin") == b, F.col("mean"))).alias(f"doy_{b}") for b in range(0, 370, 10)]
+    return means.groupBy("year").agg(*picks)
 
 
 def availability(df: DataFrame, k: int = 20) -> DataFrame:
@@ -283,14 +284,13 @@ def month_values(df: DataFrame) -> DataFrame:
 
 def monthly_profile(df: DataFrame, k: int) -> DataFrame:
     """Twelve monthly means of each of the k largest sites; gaps take the mean of the site's months."""
-    means = (
-        rows_of_top_sites(df, k).groupBy("site", F.month("date").alias("month")).agg(F.avg("ndvi").alias("mean"))
-    )
-    skeleton = means.select("site").distinct().withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
-    # at most twelve rows per site
-    full = skeleton.join(means, ["site", "month"], "left")
-    site_mean = F.avg("mean").over(Window.partitionBy("site"))
-    return full.select("site", "month", F.coalesce("mean", site_mean).alias("ndvi_mean"))
+    month = F.month("date")
+    means = F.array(*[F.avg(F.when(month == m, F.col("ndvi"))) for m in MONTHS])
+    per_site = rows_of_top_sites(df, k).groupBy("site").agg(means.alias("means"))
+    known = F.filter("means", lambda m: m.isNotNull())
+    total = F.aggregate(known, F.lit(0.0), lambda a, m: a + m)
+    filled = per_site.select("site", F.posexplode("means"), F.try_divide(total, F.size(known)).alias("site_mean"))
+    return filled.select("site", (F.col("pos") + 1).alias("month"), F.coalesce("col", "site_mean").alias("ndvi_mean"))
 
 
 def coverage(df: DataFrame, k: int = 15) -> DataFrame:
@@ -329,7 +329,7 @@ def filter_scenes(
     """Scenes of known sites within the site's date range (end excluded) and below the cloud limit."""
     ranges = site_dates.select("site", F.col(first).alias("_from"), F.col(last).alias("_to"))
     clear = scenes.where(F.col("cloud_cover") < max_cloud)
-    joined = lookup_join(clear, ranges, ["site"], "inner")
+    joined = lookup_join(clear, ranges, ["site"], "inner", derived=True)
     inside = (F.col("date") >= F.col("_from")) & (F.col("date") < F.col("_to"))
     return joined.where(inside).select(*scenes.columns)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdure.operators.ordered import hot_keys
+from verdure.session import materialize
 
 # A key with more rows than this is spread over several join tasks.
 MAX_KEY_ROWS = 20_000_000
@@ -28,15 +29,17 @@ def spread_join(
     how: str = "inner",
     max_rows: int = MAX_KEY_ROWS,
     salts: int = SALTS,
+    count_from: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join of ``facts`` with ``other`` (inner, left, left_semi or left_anti).
 
     Keys owning more than ``max_rows`` fact rows are salted: their fact rows are dealt over
-    ``salts`` tasks and the matching rows of ``other`` are repeated once per task.
+    ``salts`` tasks and the matching rows of ``other`` are repeated once per task. ``count_from`` is
+    a cheaper table holding at least the rows of ``facts`` to find such keys in.
     """
     if how not in {"inner", "left", "left_semi", "left_anti"}:
         raise ValueError(f"unsupported join type {how}")
-    hot, _ = hot_keys(facts, on, max_rows)
+    hot, _rows = hot_keys(facts if count_from is None else count_from, on, max_rows)
     if hot is None:
         return facts.join(other, list(on), how)
     hot = F.broadcast(hot.select(*[F.col(f"_hot_{k}").alias(k) for k in on]).withColumn("_is_hot", F.lit(True)))
@@ -56,10 +59,17 @@ def lookup_join(
     table: DataFrame,
     on: Sequence[str],
     how: str = "left",
+    derived: bool = False,
     max_broadcast: int = MAX_BROADCAST_ROWS,
     max_rows: int = MAX_KEY_ROWS,
 ) -> DataFrame:
-    """Join with a lookup table: broadcast when it is counted to be small, else a spread join."""
+    """Join with a lookup table: broadcast when it is counted to be small, else a spread join.
+
+    A ``derived`` table comes out of an aggregation over large data; it is written once, so that
+    counting it and joining it do not repeat that work.
+    """
+    if derived:
+        table = materialize(table, "lookup")
     if is_small(table, max_broadcast):
         return facts.join(F.broadcast(table), list(on), how)
     return spread_join(facts, table, on, how, max_rows)

@@ -103,9 +103,13 @@ def ranked(
     total: str | None = None,
     max_rows: int = MAX_SERIES_ROWS,
     block_rows: int = BLOCK_ROWS,
+    count_from: DataFrame | None = None,
 ) -> DataFrame:
-    """Adds the 1-based position of each row in its series and, if named, the series length."""
-    hot, rows = hot_keys(df, keys, max_rows)
+    """Adds the 1-based position of each row in its series and, if named, the series length.
+
+    ``count_from`` is a cheaper table holding at least the rows of ``df`` to find long series in.
+    """
+    hot, rows = hot_keys(df if count_from is None else count_from, keys, max_rows)
     if hot is None:
         return _rank_plain(df, keys, order, out, total)
     if not keys:
@@ -124,17 +128,19 @@ def windowed(
     look_back: int,
     max_rows: int = MAX_SERIES_ROWS,
     block_rows: int = BLOCK_ROWS,
+    count_from: DataFrame | None = None,
 ) -> DataFrame:
     """Adds the columns ``build(window)`` where the window is one series in order.
 
     ``build`` may look at most ``look_back`` rows back and never ahead. All its columns share the
-    window, so Spark plans one exchange, one sort and one window operator for them.
+    window, so Spark plans one exchange, one sort and one window operator for them. ``count_from``
+    is a cheaper table holding at least the rows of ``df`` to find long series in.
     """
 
     def plain(rows: DataFrame) -> DataFrame:
         return rows.select("*", *build(Window.partitionBy(*keys).orderBy(*order)))
 
-    hot, n = hot_keys(df, keys, max_rows)
+    hot, n = hot_keys(df if count_from is None else count_from, keys, max_rows)
     if hot is None:
         return plain(df)
     cold_rows, hot_rows = split_hot(df, keys, hot)
@@ -158,16 +164,22 @@ def cumulative(
     order: Sequence[str],
     value: str,
     out: str,
+    total: str,
     rows: int | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Adds the running total of ``value`` in each series.
+    """Adds the running total of ``value`` in each series and its sum over the whole series.
 
     ``rows`` is the row count when some series is too long for one task, ``None`` when all fit.
     """
     upto = lambda spec: spec.rowsBetween(Window.unboundedPreceding, 0)
     if rows is None:
-        return df.withColumn(out, F.sum(value).over(upto(Window.partitionBy(*keys).orderBy(*order))))
+        series = Window.partitionBy(*keys)
+        return df.select(
+            "*",
+            F.sum(value).over(upto(series.orderBy(*order))).alias(out),
+            F.sum(value).over(series).alias(total),
+        )
     placed = _positions(df, keys, order, rows, block_rows)
     sums = placed.groupBy(*keys, "_piece").agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -175,11 +187,12 @@ def cumulative(
         *[F.col(k).alias(f"_off_{k}") for k in keys],
         F.col("_piece").alias("_off_piece"),
         F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"),
+        F.sum("_sum").over(Window.partitionBy(*keys)).alias(total),
     )
     on = null_safe(placed, sums, [*[(k, f"_off_{k}") for k in keys], ("_piece", "_off_piece")])
     local = F.sum(value).over(upto(Window.partitionBy(*keys, "_piece").orderBy("_pos")))
     return placed.withColumn("_local", local).join(sums, on).select(
-        *df.columns, (F.col("_local") + F.col("_before")).alias(out)
+        *df.columns, (F.col("_local") + F.col("_before")).alias(out), total
     )
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from verdure.functions.codes import BAD_FLAGS
 from verdure.operators.joins import lookup_join, spread_join
 from verdure.operators.stats import exact_quantiles, top_k
+from verdure.session import materialize
 
 
 def is_bad(flag: Column, bad: Sequence[str] = BAD_FLAGS) -> Column:
@@ -32,7 +33,7 @@ def drop_flagged_rows(
     flag: str = "flag",
     bad: Sequence[str] = BAD_FLAGS,
     require_flags: bool = False,
-    **size: int,
+    **size,
 ) -> DataFrame:
     """Drops every reading whose key carries a bad flag in any column.
 
@@ -41,6 +42,7 @@ def drop_flagged_rows(
     flagged = flags.where(is_bad(F.col(flag), bad)).select(*on).distinct()
     kept = spread_join(data, flagged, on, "left_anti", **size)
     if require_flags:
+        size.setdefault("count_from", data)
         kept = spread_join(kept, flags.select(*on).distinct(), on, "left_semi", **size)
     return kept
 
@@ -51,7 +53,7 @@ def drop_flagged_cells(
     on: Sequence[str] = ("site", "ts", "col_name"),
     flag: str = "flag",
     bad: Sequence[str] = BAD_FLAGS,
-    **size: int,
+    **size,
 ) -> DataFrame:
     """Drops only the long-format readings that are flagged themselves."""
     flagged = flags.where(is_bad(F.col(flag), bad)).select(*on).distinct()
@@ -139,6 +141,7 @@ def tiers(audit: DataFrame, limits: Sequence[tuple[str, int]] = FLAG_TIERS, abov
 
 def concentration(audit: DataFrame) -> DataFrame:
     """Mean, median, sample deviation and coefficient of variation of flags per site."""
+    audit = materialize(audit.select("total_warn"), "audit")  # one row per site, read several times
     median = exact_quantiles(audit, "total_warn", [0.5], names=["median_flags"])
     mean, std = F.avg("total_warn"), F.stddev_samp("total_warn")
     return audit.agg(
@@ -155,9 +158,8 @@ def pareto(audit: DataFrame, shares: Sequence[int] = (50, 80, 90), site: str = "
     """
     order = Window.orderBy(F.col("total_warn").desc(), F.col(site).asc())
     running = F.sum("total_warn").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    placed = audit.select("total_warn", running.alias("_running"))
-    total = audit.agg(F.sum("total_warn").alias("t")).select("t").scalar()
-    placed = placed.withColumn("_total", total)
+    total = F.sum("total_warn").over(Window.partitionBy())
+    placed = audit.select("total_warn", running.alias("_running"), total.alias("_total"))
     return placed.agg(
         F.count(F.lit(1)).alias("sites"),
         *[
@@ -196,7 +198,7 @@ def exclude_sites(
     per_site = tier_table.groupBy(site).agg(
         F.max(F.col(tier).isin(*out)).alias("_out"), F.max(F.col(tier).isin(*warned)).alias("_warned")
     )
-    joined = lookup_join(df, per_site, [site], "left")
+    joined = lookup_join(df, per_site, [site], "left", derived=True)
     return joined.where(~F.coalesce("_out", F.lit(False))).select(
         *df.columns, F.coalesce("_warned", F.lit(False)).alias("quality_warning")
     )

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdure.operators.joins import spread_join
+from verdure.operators.joins import lookup_join, spread_join
 
 
 def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str] | None, name: str, value: str) -> DataFrame:
@@ -20,7 +20,7 @@ def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str] | None, name:
 def keep_valid_series(long: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Rows of series that hold at least one number anywhere."""
     good = long.where(F.col(value).try_cast("double").isNotNull()).select(*keys).distinct()
-    return spread_join(long, good, keys, "left_semi")
+    return lookup_join(long, good, keys, "left_semi", derived=True)
 
 
 def valid_series(long: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -33,7 +33,7 @@ def valid_series(long: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
-def join_drivers(flow: DataFrame, env: DataFrame, on: Sequence[str], target: str, **size: int) -> DataFrame:
+def join_drivers(flow: DataFrame, env: DataFrame, on: Sequence[str], target: str, **size) -> DataFrame:
     """Inner join of long flow readings with weather; rows without a target are dropped first."""
     return spread_join(flow.where(F.col(target).isNotNull()), env, on, "inner", **size)
 

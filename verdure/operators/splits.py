@@ -11,6 +11,7 @@ from verdure.functions import calendar
 from verdure.operators.joins import lookup_join
 from verdure.operators.ordered import values_at
 from verdure.operators.stats import top_k
+from verdure.session import materialize
 
 SEED_TEXT = ""
 # Hex digits of the hash used to narrow the cut down before rows are sorted.
@@ -46,6 +47,7 @@ def _hash_cut(df: DataFrame, keys: Sequence[str], wanted: Column) -> DataFrame:
     placed = placed.withColumn("_wanted", wanted)
     edge = placed.where((F.col("_upto") - F.col("_n") < F.col("_wanted")) & (F.col("_wanted") <= F.col("_upto")))
     edge = edge.select(*keys, "_prefix", (F.col("_wanted") - F.col("_upto") + F.col("_n")).alias("_rest"))
+    edge = materialize(edge, "hash-edge")  # one row per group
     inside = df.withColumn("_prefix", prefix).join(edge, [*keys, "_prefix"])
     same = inside.groupBy(*keys, "_prefix", "_hash", "_rest").agg(F.count(F.lit(1)).alias("_n"))
     within = Window.partitionBy(*keys, "_prefix").orderBy("_hash").rowsBetween(Window.unboundedPreceding, 0)
@@ -78,8 +80,10 @@ def capped_sample(
     """At most ``per_group`` rows of each group and ``overall`` rows in all, drawn by key hash."""
     hashed = df.withColumn("_hash", hash_of(*key, seed=seed))
     cuts = _hash_cut(hashed.select(*group, "_hash"), list(group), F.least(F.lit(per_group), F.col("_size")))
-    kept = lookup_join(hashed, cuts, list(group), "inner").where(F.col("_hash") <= F.col("_cut")).drop("_cut")
+    kept = lookup_join(hashed, cuts, list(group), "inner", derived=True)
+    kept = kept.where(F.col("_hash") <= F.col("_cut")).drop("_cut")
     if overall is not None:
+        kept = materialize(kept, "sample")  # already at most per_group rows of each group
         limit = F.least(F.lit(overall), F.col("_size"))
         cut = _hash_cut(kept.select("_hash"), [], limit).agg(F.max("_cut").alias("_cut")).select("_cut").scalar()
         kept = kept.where(F.col("_hash") <= cut)
@@ -87,7 +91,7 @@ def capped_sample(
 
 
 def temporal_holdout(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], ratio: float = 0.8, **size: int
+    df: DataFrame, group: Sequence[str], order: Sequence[str], ratio: float = 0.8, **size
 ) -> DataFrame:
     """Row label ``split``: the first ``max(1, int(n * ratio))`` rows of each group train.
 
@@ -95,13 +99,13 @@ def temporal_holdout(
     """
     at = {"_cut": lambda n: F.greatest(F.lit(1), F.floor(n * F.lit(ratio)).cast("bigint"))}
     cuts = values_at(df, list(group), list(order), at, **size).drop("series_rows")
-    joined = lookup_join(df, cuts, list(group), "inner")
+    joined = lookup_join(df, cuts, list(group), "inner", derived=True)
     label = F.when(F.struct(*order) <= F.col("_cut"), "train").otherwise("test")
     return joined.select(*df.columns, label.alias("split"))
 
 
 def temporal_blocks(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], folds: int = 5, **size: int
+    df: DataFrame, group: Sequence[str], order: Sequence[str], folds: int = 5, **size
 ) -> DataFrame:
     """Row label ``block``: consecutive blocks of ``n // folds`` rows per group, numbered from 0.
 
@@ -110,7 +114,7 @@ def temporal_blocks(
     """
     ends = {f"_end{f}": (lambda n, f=f: F.floor(n / folds) * (f + 1)) for f in range(folds)}
     cuts = values_at(df, list(group), list(order), ends, **size).where(F.col("series_rows") >= folds)
-    joined = lookup_join(df, cuts.drop("series_rows"), list(group), "inner")
+    joined = lookup_join(df, cuts.drop("series_rows"), list(group), "inner", derived=True)
     here = F.struct(*order)
     block = F.lit(None).cast("int")
     for f in reversed(range(folds)):
@@ -130,7 +134,7 @@ def fold_sizes(blocks: DataFrame, folds: int = 5) -> DataFrame:
 
 
 def fixed_test_blocks(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], folds: int = 5, share: float = 0.2, **size: int
+    df: DataFrame, group: Sequence[str], order: Sequence[str], folds: int = 5, share: float = 0.2, **size
 ) -> DataFrame:
     """Row label ``fold``: the last rows of each group in ``folds`` test sets of ``int(n * share)`` rows.
 
@@ -143,7 +147,7 @@ def fixed_test_blocks(
 
     cuts = values_at(df, list(group), list(order), {f"_end{f}": end(f) for f in range(folds)}, **size)
     cuts = cuts.where(F.floor(F.col("series_rows") * F.lit(share)) > 0).drop("series_rows")
-    joined = lookup_join(df, cuts, list(group), "inner")
+    joined = lookup_join(df, cuts, list(group), "inner", derived=True)
     # an end before the first row has no order tuple and never holds
     fold = F.lit(folds)
     for f in reversed(range(folds)):
@@ -170,7 +174,7 @@ def leave_one_site_out(
     The fold of a row is its site: a fold tests on the rows of one site and trains on the others, so
     the rows are kept once however many folds there are.
     """
-    sites = supported_sites(df, site, min_rows, max_sites)
+    sites = materialize(supported_sites(df, site, min_rows, max_sites), "sites")
     rows = lookup_join(df, sites.select(site), [site], "left_semi")
     total = sites.agg(F.sum("n").alias("t")).select("t").scalar()
     folds = sites.select(F.col(site).alias("test_site"), (total - F.col("n")).alias("train_rows"), F.col("n").alias("test_rows"))
@@ -186,21 +190,22 @@ def rolling_origin(
     never overlap and the window of a row follows from its time alone. A window whose test range
     would end after the last time is not used; rows between windows are left out.
     """
-    span = train_days + test_days
-    ends = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"))
-    placed = df.select("*", ends.select("lo").scalar().alias("_lo"), ends.select("hi").scalar().alias("_hi"))
     day = 86_400_000_000
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    since = micros(F.col(ts)) - micros(F.col("_lo"))
-    length = micros(F.col("_hi")) - micros(F.col("_lo"))
-    days = F.floor(length / F.lit(day))
-    gap = F.floor((days - span) / F.lit(max(windows - 1, 1))) if windows > 1 else F.lit(0)
-    spacing = F.greatest(gap, F.lit(span)).cast("bigint")
-    index = F.floor(since / (spacing * F.lit(day)))
-    offset = since - index * spacing * F.lit(day)
-    fits = (index * spacing + span) * F.lit(day) <= length
-    usable = (days > span) & fits & (index < windows) & (offset < span * day)
-    return placed.where(usable).select(
+    span = train_days + test_days
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    ends = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).select(
+        micros("lo").alias("lo"), (micros("hi") - micros("lo")).alias("length")
+    )
+    days = F.floor(F.col("length") / F.lit(day))
+    gap = F.floor((days - span) / F.lit(windows - 1)) if windows > 1 else F.lit(0)
+    spacing = (F.greatest(gap, F.lit(span)) * F.lit(day)).cast("bigint")
+    # the layout of the windows is one small row, found by a subquery
+    fitting = F.when(days <= span, 0).otherwise(F.least(F.floor((F.col("length") - span * day) / spacing) + 1, F.lit(windows)))
+    layout = ends.select(F.struct("lo", spacing.alias("spacing"), fitting.cast("bigint").alias("windows")).alias("s"))
+    placed = df.withColumn("_s", layout.scalar()).withColumn("_since", micros(ts) - F.col("_s.lo"))
+    index = F.floor(F.col("_since") / F.col("_s.spacing")).cast("bigint")
+    offset = F.pmod(F.col("_since"), F.col("_s.spacing"))
+    return placed.where((index < F.col("_s.windows")) & (offset < span * day)).select(
         *df.columns,
         (index + 1).cast("int").alias("window"),
         F.when(offset < train_days * day, "train").otherwise("test").alias("part"),

@@ -36,12 +36,7 @@ def exact_quantiles(
     largest, overall = distinct.agg(F.max("_d"), F.sum("_d")).first()
     counts = present.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
     long = largest is not None and largest * 1.2 > max_rows
-    ranks = cumulative(counts, by, ["_v"], "_n", "_upto", int(overall * 1.2) if long else None, block_rows)
-    sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_size"))
-    if by:
-        ranks = ranks.join(sizes, by)
-    else:
-        ranks = ranks.withColumn("_size", sizes.select("_size").scalar())
+    ranks = cumulative(counts, by, ["_v"], "_n", "_upto", "_size", int(overall * 1.2) if long else None, block_rows)
     picks, out = [], []
     for p, name in zip(probs, names):
         # Exact positions: p is a fraction of small integers for every quantile used here.
@@ -55,16 +50,15 @@ def exact_quantiles(
     return ranks.groupBy(*by).agg(*picks).select(*by, *out)
 
 
-def value_range(df: DataFrame, value: str) -> tuple[Column, Column]:
-    """Least and greatest value as scalar subqueries, computed once by Spark."""
-    ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    return ends.select("lo").scalar(), ends.select("hi").scalar()
+def value_range(df: DataFrame, value: str) -> Column:
+    """Least and greatest value as one scalar subquery with fields ``lo`` and ``hi``."""
+    return df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("ends")).scalar()
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     """Counts over equal-width bins between the least and greatest value; the last bin is closed."""
-    low, high = value_range(df, value)
-    placed = df.where(F.col(value).isNotNull()).select(F.col(value).alias("_v"), low.alias("lo"), high.alias("hi"))
+    present = df.where(F.col(value).isNotNull()).select(F.col(value).alias("_v"), value_range(df, value).alias("_e"))
+    placed = present.select("_v", "_e.*")
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     raw = F.floor(F.try_divide(F.col("_v") - F.col("lo"), width)).cast("int") + 1
     return (
@@ -79,8 +73,9 @@ def equal_width_cut(df: DataFrame, value: str, bins: int, out: str = "bin") -> D
 
     Adds ``<out>_mid``, the midpoint of the bin, whose lowest edge is moved down by 0.1 % of the span.
     """
-    low, high = value_range(df, value)
-    placed = df.select("*", low.alias("_lo"), high.alias("_hi"))
+    placed = df.withColumn("_e", value_range(df, value)).select(
+        *df.columns, F.col("_e.lo").alias("_lo"), F.col("_e.hi").alias("_hi")
+    )
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     number = F.greatest(F.lit(1), F.ceil(F.try_divide(F.col(value) - F.col("_lo"), width)).cast("int"))
     number = F.when(F.col(value).isNotNull(), F.least(number, F.lit(bins)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from verdure.functions import calendar, derived
 from verdure.operators import align, features, metadata, quality, reshape
+from verdure.operators.ordered import BLOCK_ROWS, MAX_SERIES_ROWS
 
 
 def add_time_features(df: DataFrame, ts: str = "ts", solar_ts: str | None = None) -> DataFrame:
@@ -31,20 +32,22 @@ def build(
     lags: Sequence[int] = features.LAGS,
     widths: Sequence[int] = features.ROLLING_WIDTHS,
     interactions: bool = False,
-    **size: int,
+    max_rows: int = MAX_SERIES_ROWS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Feature table from long flow readings ``(site, ts, plant_id, <target>)`` and weather ``(site, ts, …)``.
 
     One shuffle by (site, ts) brings readings and weather together, one by (site, plant_id) serves
     every lag and rolling column. Metadata comes last, after the wide window stage, and is broadcast
-    when it is small.
+    when it is small. Large sites and trees are looked for in the readings as they were given.
     """
+    size = {"max_rows": max_rows, "count_from": flow}
     if env_flags is not None:
-        env = quality.drop_flagged_rows(env, env_flags, **size)
+        env = quality.drop_flagged_rows(env, env_flags)
     if flow_flags is not None:
         flow = quality.drop_flagged_rows(flow, flow_flags, **size)
     df = reshape.join_drivers(flow, env, ["site", "ts"], target, **size)
-    df = features.series_features(df, ["site", "plant_id"], list(order), lags=lags, widths=widths, **size)
+    df = features.series_features(df, ["site", "plant_id"], list(order), lags=lags, widths=widths, block_rows=block_rows, **size)
     df = add_time_features(df, "ts", "solar_ts")
     if site_table is not None:
         df = metadata.attach_site_metadata(df, site_table)
@@ -64,7 +67,7 @@ def build_from_archive(
     drivers: Sequence[str] = (*features.LAG_DRIVERS, "ext_rad"),
     site_columns: Sequence[str] = ("si_lat", "si_long", "si_elev", "si_mat", "si_map", "si_biome", "si_igbp"),
     use_flags: bool = True,
-    **size: int,
+    **size,
 ) -> DataFrame:
     """Feature table of a whole archive of station files."""
     from verdure.sources import stations

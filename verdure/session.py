@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
 # Settings every job here relies on. Partition counts are left to the cluster and to AQE.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -35,12 +37,27 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     A machine-local folder is used only when the setting is absent and the master is local;
     on a cluster the missing setting is an error, because executors could not share the folder.
     """
+    return f"{_session_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _session_folder(spark: SparkSession) -> str:
+    app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="verdure-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if base:
+        return f"{base.rstrip('/')}/verdure-{app}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="verdure-")
+    return _LOCAL_FOLDERS[app]
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes the tables this session wrote to the scratch folder, once no result needs them."""
+    folder = _session_folder(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _LOCAL_FOLDERS.pop(spark.sparkContext.applicationId, None)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
