@@ -203,7 +203,9 @@ _WINDOWS = {
         (SELECT w, part, v, row_number() OVER (PARTITION BY w, part ORDER BY count(*) DESC, v) AS rn FROM
          (SELECT w, part, CAST((month(ts) % 12) // 3 + 1 AS INTEGER) AS v FROM placed) a GROUP BY 1, 2, 3) c WHERE rn = 1 GROUP BY 1""",
     "windows": f"""SELECT w, test_season, train_season <> test_season AS is_transition, test_r2 FROM seasons
-        JOIN (SELECT w, {_R2} AS test_r2 FROM fitted WHERE part = 'test' GROUP BY w) s USING (w)""",
+        JOIN (SELECT w, {_R2} AS test_r2 FROM fitted WHERE part = 'test' GROUP BY w) s USING (w)
+        WHERE w IN (SELECT w FROM placed GROUP BY w HAVING count(*) FILTER (WHERE part = 'train') >= 100
+                    AND count(*) FILTER (WHERE part = 'test') >= 10)""",
 }
 
 
@@ -278,9 +280,10 @@ def importance_rollup(spark, sf_dir):
     "model_blend",
     b.with_cte(
         """SELECT site, event_id, round(CASE WHEN n > 1450 THEN 0.7 * loc + 0.3 * every ELSE every END, 6) AS predicted FROM
-        (SELECT h.site, h.event_id, g.v AS every, l.v AS loc, c.n FROM hold h
-         JOIN (SELECT hour(ts) AS ho, avg(ta) AS v FROM hold WHERE split = 'train' GROUP BY 1) g ON hour(h.ts) = g.ho
-         JOIN (SELECT site, hour(ts) AS ho, avg(ta) AS v FROM hold WHERE split = 'train' GROUP BY 1, 2) l ON l.site = h.site AND hour(h.ts) = l.ho
+        (SELECT h.site, h.event_id, coalesce(g.v, m) AS every, coalesce(l.v, m) AS loc, c.n FROM hold h
+         JOIN (SELECT avg(ta) AS m FROM hold WHERE split = 'train') o ON true
+         LEFT JOIN (SELECT hour(ts) AS ho, avg(ta) AS v FROM hold WHERE split = 'train' GROUP BY 1) g ON hour(h.ts) = g.ho
+         LEFT JOIN (SELECT site, hour(ts) AS ho, avg(ta) AS v FROM hold WHERE split = 'train' GROUP BY 1, 2) l ON l.site = h.site AND hour(h.ts) = l.ho
          JOIN (SELECT site, count(*) AS n FROM hold WHERE split = 'train' GROUP BY 1) c ON c.site = h.site WHERE h.split = 'test') x""",
         "series",
         extra={"hold": _HOLD},

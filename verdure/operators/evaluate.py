@@ -32,7 +32,11 @@ def metrics(
 ) -> DataFrame:
     """RMSE, MAE, R² and squared correlation of predictions, over all rows or per group."""
     a, p = F.col(actual), F.col(predicted)
-    return df.groupBy(*by).agg(*_scores(a, p), F.pow(F.corr(a, p), 2).alias("corr_squared"))
+    both = a.isNotNull() & p.isNotNull()
+    # written out, since the built-in correlation fails on a constant column
+    spread = F.var_pop(F.when(both, a)) * F.var_pop(F.when(both, p))
+    squared = F.try_divide(F.pow(F.covar_pop(a, p), 2), spread)
+    return df.groupBy(*by).agg(*_scores(a, p), squared.alias("corr_squared"))
 
 
 def residuals(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
