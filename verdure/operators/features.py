@@ -122,8 +122,11 @@ def rolling_mean_time(
     reach = max(hours) * 3600 * 1_000_000
     span = _SPAN_WINDOWS * reach
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    placed = per_time.withColumn("_us", micros).withColumn("_own", F.floor(F.col("_us") / F.lit(span)))
-    near_end = F.pmod("_us", F.lit(span)) >= span - reach
+    within = F.pmod("_us", F.lit(span))
+    # a whole number of spans, so the division is exact
+    own = ((F.col("_us") - within) / F.lit(span)).cast("bigint")
+    placed = per_time.withColumn("_us", micros).withColumn("_own", own)
+    near_end = within >= span - reach
     spans = F.when(near_end, F.array(F.col("_own"), F.col("_own") + 1)).otherwise(F.array(F.col("_own")))
     copied = placed.withColumn("_span", F.explode(spans))
     spec = Window.partitionBy(*keys, "_span").orderBy("_us")

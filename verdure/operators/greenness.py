@@ -48,15 +48,19 @@ def grouped_stats(df: DataFrame, by: Sequence[str | Column], value: str = "ndvi"
 
 def overview(df: DataFrame) -> DataFrame:
     """Size of the table: rows, sites, date range, missions, years and months covered."""
-    n, sites = F.count(F.lit(1)), F.countDistinct("site")
-    return df.agg(
+    # one row per combination, so that the distinct counts do not multiply the records
+    cells = df.groupBy("site", "collection", F.year("date").alias("year"), F.month("date").alias("month")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last")
+    )
+    n, sites = F.sum("n"), F.countDistinct("site")
+    return cells.agg(
         n.alias("records"),
         sites.alias("sites"),
-        F.min("date").alias("first_date"),
-        F.max("date").alias("last_date"),
+        F.min("first").alias("first_date"),
+        F.max("last").alias("last_date"),
         F.countDistinct("collection").alias("missions"),
-        F.countDistinct(F.year("date")).alias("years"),
-        F.countDistinct(F.month("date")).alias("months"),
+        F.countDistinct("year").alias("years"),
+        F.countDistinct("month").alias("months"),
         (n / sites).alias("records_per_site"),
     )
 

@@ -147,7 +147,7 @@ def windowed(
     placed = _rank_hot(hot_rows, keys, order, n, block_rows, "_rank", None)
     size = max(block_rows, look_back, 1)
     offset = (F.col("_rank") - 1) % size
-    placed = placed.withColumn("_own", F.floor((F.col("_rank") - 1) / size))
+    placed = placed.withColumn("_own", ((F.col("_rank") - 1 - offset) / size).cast("bigint"))
     # the last rows of a block are also handed to the next block, where they are only looked at
     copies = F.when(offset >= size - look_back, F.array(F.col("_own"), F.col("_own") + 1)).otherwise(
         F.array(F.col("_own"))

@@ -203,8 +203,8 @@ def rolling_origin(
     fitting = F.when(days <= span, 0).otherwise(F.least(F.floor((F.col("length") - span * day) / spacing) + 1, F.lit(windows)))
     layout = ends.select(F.struct("lo", spacing.alias("spacing"), fitting.cast("bigint").alias("windows")).alias("s"))
     placed = df.withColumn("_s", layout.scalar()).withColumn("_since", micros(ts) - F.col("_s.lo"))
-    index = F.floor(F.col("_since") / F.col("_s.spacing")).cast("bigint")
     offset = F.pmod(F.col("_since"), F.col("_s.spacing"))
+    index = ((F.col("_since") - offset) / F.col("_s.spacing")).cast("bigint")
     return placed.where((index < F.col("_s.windows")) & (offset < span * day)).select(
         *df.columns,
         (index + 1).cast("int").alias("window"),
