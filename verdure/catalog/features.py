@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from verdure.catalog.registry import query, rounded
@@ -80,6 +82,20 @@ def rolling_mean_time(spark, sf_dir):
     return rounded(out, *[f"ta_mean_{h}h" for h in _HOURS])
 
 
+@query(
+    "rolling_mean_time_range",
+    b.with_cte(
+        """SELECT * FROM (SELECT DISTINCT site, plant_id, ts, round(avg(ta) OVER (PARTITION BY site, plant_id ORDER BY ts RANGE
+        BETWEEN INTERVAL 172799999999 MICROSECONDS PRECEDING AND CURRENT ROW), 6) AS ta_mean_48h FROM series) r
+        WHERE ts >= TIMESTAMP '2024-01-11' AND ts < TIMESTAMP '2024-01-18'""",
+        "series",
+    ),
+)
+def rolling_mean_time_range(spark, sf_dir):
+    week = {"since": datetime(2024, 1, 11), "until": datetime(2024, 1, 18)}
+    return rounded(ops.rolling_mean_time(b.series(spark, sf_dir), b.SERIES, "ts", ["ta"], [48], **week), "ta_mean_48h")
+
+
 @query(
     "rolling_slope",
     b.with_cte(
@@ -174,6 +190,17 @@ def solar_cyclic(spark, sf_dir):
     return rounded(add_columns(rows, calendar.solar(F.col("solar_ts"))).drop("solar_ts"), *_SOLAR)
 
 
+@query(
+    "civil_cyclic",
+    """SELECT event_id, round(sin(2 * pi() * hour(ts) / 24), 6) AS hour_sin, round(cos(2 * pi() * hour(ts) / 24), 6) AS hour_cos,
+       round(sin(2 * pi() * dayofyear(ts) / 365), 6) AS day_sin, round(cos(2 * pi() * dayofyear(ts) / 365), 6) AS day_cos FROM events""",
+)
+def civil_cyclic(spark, sf_dir):
+    rows = b.table(spark, sf_dir, "events").select("event_id", "ts")
+    made = calendar.civil_cycles(F.col("ts"))
+    return rounded(add_columns(rows, made).drop("ts"), *made)
+
+
 @query(
     "season_of_month",
     """SELECT o_orderkey, CAST(CASE WHEN month(o_orderdate) IN (12, 1, 2) THEN 1 WHEN month(o_orderdate) IN (3, 4, 5) THEN 2

@@ -38,6 +38,11 @@ def solar(ts: Column) -> dict[str, Column]:
     }
 
 
+def civil_cycles(ts: Column) -> dict[str, Column]:
+    """Cyclic forms of hour and day of the year in civil time."""
+    return {**cyclic(F.hour(ts), 24, "hour"), **cyclic(F.dayofyear(ts), 365, "day")}
+
+
 def season(month: Column) -> Column:
     """1 for December to February, 2 spring, 3 summer, 4 autumn."""
     return (F.floor((month % 12) / 3) + 1).cast("int")

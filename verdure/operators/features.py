@@ -7,6 +7,7 @@ any number of features costs one exchange and one sort.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -108,13 +109,22 @@ def rolling_mean_time(
     ts: str,
     drivers: Sequence[str],
     hours: Sequence[int],
+    since: datetime | None = None,
+    until: datetime | None = None,
 ) -> DataFrame:
     """Mean over the trailing ``h`` hours, ``(t - h, t]``, one row per series and timestamp.
 
     Rows sharing a timestamp share the answer, so they are added up first. The series is then cut
     into spans of several widest windows; each span also sees the last window of the span before
     it, which is all a trailing window can reach. A task sorts the distinct timestamps of one span.
+
+    ``since`` (inclusive) and ``until`` (exclusive) restrict the answer; the time filter reaches the
+    scan with the widest window as margin, so that the first answers are whole.
     """
+    if since is not None:
+        df = df.where(F.col(ts) > F.lit(since - timedelta(hours=max(hours))))
+    if until is not None:
+        df = df.where(F.col(ts) < F.lit(until))
     parts = []
     for d in drivers:
         parts += [F.sum(d).alias(f"_sum_{d}"), F.count(d).alias(f"_n_{d}")]
@@ -137,6 +147,8 @@ def rolling_mean_time(
             mean = F.try_divide(F.sum(f"_sum_{d}").over(frame), F.sum(f"_n_{d}").over(frame))
             out.append(mean.alias(f"{d}_mean_{h}h"))
     done = copied.select("*", *out).where(F.col("_span") == F.col("_own"))
+    if since is not None:
+        done = done.where(F.col(ts) >= F.lit(since))
     return done.select(*keys, ts, *[f"{d}_mean_{h}h" for d in drivers for h in hours])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -119,15 +120,25 @@ NUMERIC = (
 FEW, SOME = 20, 100
 
 
-def text_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Distinct values of each text column (null counts as one) and whether all are numbers."""
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "column", "value")
-    values = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    number = F.col("value").isNull() | F.col("value").rlike(r"^[0-9.\-]*[0-9][0-9.\-]*$")
-    return values.groupBy("column").agg(
-        F.count(F.lit(1)).alias("distinct_values"),
-        F.every(number).alias("looks_numeric"),
-    )
+_LOOKS_NUMERIC = re.compile(r"[0-9.\-]*[0-9][0-9.\-]*")
+
+
+def _short_columns(df: DataFrame, columns: Sequence[str]) -> dict[str, set[str | None]]:
+    """The distinct values, null included, of the text columns that have at most ``SOME``.
+
+    A sketch rules out the columns far above the limit, whose values need not be shuffled. Of the
+    rest each has at most a few hundred values, which are collected together.
+    """
+    if not columns:
+        return {}
+    sketch = df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in columns]).first()
+    near = [c for c in columns if sketch[c] <= 2 * SOME]
+    if not near:
+        return {}
+    values: dict[str, set[str | None]] = {c: set() for c in near}
+    for row in df.select(*near).unpivot([], near, "column", "value").distinct().collect():
+        values[row["column"]].add(row["value"])
+    return {c: v for c, v in values.items() if len(v) <= SOME}
 
 
 def auto_encode(
@@ -146,28 +157,16 @@ def auto_encode(
     open_columns = [c for c in text if c not in known]
     changes: dict[str, Column] = {c: F.col(c).try_cast("double") for c in known}
     dropped: list[str] = []
-    coded: list[str] = []
-    profile = {}
-    if open_columns:
-        # A sketch rules out the columns far above the limit, whose values need not be shuffled.
-        sketch = df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in open_columns]).first()
-        near = [c for c in open_columns if sketch[c] <= 2 * SOME]
-        profile = {c: {"distinct_values": sketch[c]} for c in open_columns}
-        if near:
-            profile |= {r["column"]: r for r in text_profile(df, near).collect()}  # one row per column
+    short = _short_columns(df, open_columns)
     for c in open_columns:
-        row = profile[c]
-        n = row["distinct_values"]
-        if n <= FEW or (n <= SOME and not row["looks_numeric"]):
-            coded.append(c)
-        elif n <= SOME or high == "null":
+        ordered = sorted(v for v in short.get(c, ()) if v is not None)
+        numbers = all(_LOOKS_NUMERIC.fullmatch(v) for v in ordered)
+        if c not in short and high == "drop":
+            dropped.append(c)
+        elif c not in short or (len(short[c]) > FEW and numbers):
             changes[c] = F.col(c).try_cast("double")
         else:
+            table = encode(F.col(c), {v: i for i, v in enumerate(ordered)}) if ordered else F.lit(None).cast("double")
+            changes[f"{c}_code"] = F.when(F.col(c).isNull(), F.lit(float(len(ordered)))).otherwise(table)
             dropped.append(c)
-    for c in coded:
-        values = [r[0] for r in df.select(c).distinct().collect()]  # at most SOME values, counted above
-        ordered = sorted(v for v in values if v is not None)
-        table = encode(F.col(c), {v: i for i, v in enumerate(ordered)}) if ordered else F.lit(None).cast("double")
-        changes[f"{c}_code"] = F.when(F.col(c).isNull(), F.lit(float(len(ordered)))).otherwise(table)
-        dropped.append(c)
     return df.withColumns(changes).drop(*dropped) if changes or dropped else df

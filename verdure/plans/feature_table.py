@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from verdure.functions import calendar, derived
 from verdure.operators import align, features, metadata, quality, reshape
+from verdure.operators.joins import lookup_join
 from verdure.operators.ordered import BLOCK_ROWS, MAX_SERIES_ROWS
+from verdure.sources import stations
 
 
 def add_time_features(df: DataFrame, ts: str = "ts", solar_ts: str | None = None) -> DataFrame:
@@ -67,19 +69,23 @@ def build_from_archive(
     drivers: Sequence[str] = (*features.LAG_DRIVERS, "ext_rad"),
     site_columns: Sequence[str] = ("si_lat", "si_long", "si_elev", "si_mat", "si_map", "si_biome", "si_igbp"),
     use_flags: bool = True,
+    sites: DataFrame | None = None,
     **size,
 ) -> DataFrame:
-    """Feature table of a whole archive of station files."""
-    from verdure.sources import stations
+    """Feature table of an archive of station files, or of the ``sites`` listed."""
 
-    env = stations.read_wide(spark, root, "env", drivers)
-    flow = stations.read_long(spark, root, "sapf", "data", "plant_id", "sap_flow")
+    def of_sites(df: DataFrame) -> DataFrame:
+        return df if sites is None else lookup_join(df, sites.select("site"), ["site"], "left_semi")
+
+    env = of_sites(stations.read_wide(spark, root, "env", drivers))
+    flow = of_sites(stations.read_long(spark, root, "sapf", "data", "plant_id", "sap_flow"))
     flow = reshape.keep_valid_series(flow, ["site", "plant_id"], "sap_flow")
-    kinds = {(r["kind"], r["part"]) for r in stations.site_catalog(spark, root).select("kind", "part").distinct().collect()}
+    listed = stations.site_catalog(spark, root).select("kind", "part").distinct().collect()  # a dozen at most
+    kinds = {(r["kind"], r["part"]) for r in listed}
     flags = {}
     for kind in ("env", "sapf"):
         if use_flags and (kind, "flags") in kinds:
-            flags[kind] = stations.read_long(spark, root, kind, "flags", "col_name", "flag")
+            flags[kind] = of_sites(stations.read_long(spark, root, kind, "flags", "col_name", "flag"))
     site_table = None
     if ("site", "md") in kinds:
         site_table = stations.read_metadata(spark, root, "site", site_columns)

@@ -2,7 +2,8 @@
 
 Tables of the same kind differ in their columns from site to site (one column per tree), so files
 cannot share a positional schema. Lines are read as text together with their file path, matched to
-the header of their own file, and split in one plan over all files.
+the header of their own file, and split in one plan over all files. Finding the headers reads the
+text once more than the rows need, so an archive used often is best turned into parquet once.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ from pyspark.sql import types as T
 
 from verdure.functions.clean import finite
 from verdure.operators.joins import lookup_join
+from verdure.session import materialize
 
 # Kinds and parts in file names, header starts, missing-value text, dropped columns.
 KINDS = ("env", "sapf", "plant", "site", "species", "stand")
 PARTS = ("data", "flags", "md")
 _NAME = rf"(?:^|[/=])([^/=]+)_({'|'.join(KINDS)})_({'|'.join(PARTS)})\.csv(?:\.gz)?(?:/|$)"
+# A header line starts with the name of a time column or of a metadata column.
 _HEADER = r'^\s*"?(TIMESTAMP|solar_TIMESTAMP|(si|st|sp|env|pl)_[A-Za-z_]+"?(,|$))'
 MISSING = "NA"
 EXCLUDED = ("pl_name", "swc_deep", "netrad", "seasonal_leaf_area")
@@ -49,15 +52,21 @@ def site_catalog(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def has_files(spark: SparkSession, root: str, kind: str, part: str) -> bool:
+    """Whether the archive holds any table of this kind."""
+    found = site_catalog(spark, root).where((F.col("kind") == kind) & (F.col("part") == part))
+    return not found.isEmpty()
+
+
 def _lines(spark: SparkSession, root: str, kind: str, part: str) -> DataFrame:
+    """Lines of one kind of table. The test of the path drops all other files before they are read."""
     lines = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.csv*")
         .text(root)
         .select("value", F.col("_metadata.file_path").alias("file"))
     )
-    lines = lines.withColumns(file_name_parts(F.col("file")))
-    return lines.where((F.col("kind") == kind) & (F.col("part") == part) & (F.col("value") != ""))
+    return lines.where(F.col("file").contains(f"_{kind}_{part}.csv") & (F.col("value") != ""))
 
 
 def scan_fields(spark: SparkSession, root: str, kind: str, part: str) -> DataFrame:
@@ -68,7 +77,8 @@ def scan_fields(spark: SparkSession, root: str, kind: str, part: str) -> DataFra
     """
     lines = _lines(spark, root, kind, part)
     is_header = F.col("value").rlike(_HEADER)
-    headers = lines.where(is_header).select("file", "value").distinct()
+    found = lines.where(is_header).select("file", file_name_parts(F.col("file"))["site"].alias("site"), "value")
+    headers = materialize(found.where(F.col("site").isNotNull()).distinct(), "headers")  # one row per file
     widest = headers.agg(F.max(F.size(F.split("value", ",")))).first()[0]
     if widest is None:
         raise ValueError(f"no {kind} {part} files with a header below {root}")
@@ -79,8 +89,8 @@ def scan_fields(spark: SparkSession, root: str, kind: str, part: str) -> DataFra
         parsed = F.from_csv(F.col(line), F.lit(fields.simpleString()[7:-1].replace(":", " ")), options)
         return F.array(*[parsed[f"c{i}"] for i in range(widest)])
 
-    named = headers.select("file", F.filter(as_array("value"), lambda x: x.isNotNull()).alias("names"))
-    body = lines.where(~is_header).select("site", "file", as_array("value").alias("_all"))
+    named = headers.select("file", "site", F.filter(as_array("value"), lambda x: x.isNotNull()).alias("names"))
+    body = lines.where(~is_header).select("file", as_array("value").alias("_all"))
     joined = lookup_join(body, named, ["file"], "inner")
     return joined.select("site", "file", "names", F.slice("_all", 1, F.size("names")).alias("fields"))
 
