@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdure.operators.ordered import hot_keys
+from verdure.operators.ordered import hot_keys, null_safe
 from verdure.session import materialize
 
 # A key with more rows than this is spread over several join tasks.
@@ -18,8 +18,8 @@ MAX_BROADCAST_ROWS = 200_000
 
 
 def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; stops reading soon after that many."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Whether ``df`` has at most ``max_rows`` rows. Counting a file table reads only its footers."""
+    return df.count() <= max_rows
 
 
 def spread_join(
@@ -42,16 +42,20 @@ def spread_join(
     hot, _rows = hot_keys(facts if count_from is None else count_from, on, max_rows)
     if hot is None:
         return facts.join(other, list(on), how)
-    hot = F.broadcast(hot.select(*[F.col(f"_hot_{k}").alias(k) for k in on]).withColumn("_is_hot", F.lit(True)))
+    marked = F.broadcast(hot.withColumn("_is_hot", F.lit(True)))
+    # null keys match nothing in the join itself, but there may be many of them to spread
+    same = null_safe(facts, marked, [(k, f"_hot_{k}") for k in on])
+    names = [f"_hot_{k}" for k in on]
     # the task number spreads equal rows; both parts are the same again when a task is rerun
     deal = F.pmod(F.xxhash64(*facts.columns) + F.spark_partition_id(), F.lit(salts)).cast("int")
-    facts = facts.join(hot, list(on), "left").withColumn("_salt", F.when(F.col("_is_hot"), deal).otherwise(0))
+    dealt = facts.withColumn("_deal", deal).join(marked, same, "left").drop(*names)
+    dealt = dealt.withColumn("_salt", F.when(F.col("_is_hot"), F.col("_deal")).otherwise(0)).drop("_deal", "_is_hot")
     every = F.sequence(F.lit(0), F.lit(salts - 1))
-    other = other.join(hot, list(on), "left").withColumn(
+    again = null_safe(other, marked, [(k, f"_hot_{k}") for k in on])
+    repeated = other.join(marked, again, "left").drop(*names).withColumn(
         "_salt", F.explode(F.when(F.col("_is_hot"), every).otherwise(F.array(F.lit(0))))
     )
-    joined = facts.drop("_is_hot").join(other.drop("_is_hot"), [*on, "_salt"], how)
-    return joined.drop("_salt")
+    return dealt.join(repeated.drop("_is_hot"), [*on, "_salt"], how).drop("_salt")
 
 
 def lookup_join(
