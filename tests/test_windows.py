@@ -175,3 +175,38 @@ def test_long_groups_split_like_short_ones(frame):
         lambda **s: splits.fixed_test_blocks(df, ["plant_id"], ["ts", "id"], 3, 0.2, **s).withColumnRenamed("fold", "label"),
     ):
         assert values(make(), "id", "label") == values(make(**SMALL), "id", "label")
+
+
+def test_chain_covers_any_widths():
+    assert features._chain((3, 6, 12, 24, 48, 72)) == [(3, [1, 1, 1]), (6, [3, 3]), (12, [6, 6]), (24, [12, 12]), (48, [24, 24]), (72, [48, 24])]
+    for widths in ((168,), (5, 7, 100), (1,), (2,), (1000, 3)):
+        ready = {1}
+        for width, parts in features._chain(widths):
+            assert sum(parts) == width and set(parts) <= ready and len(parts) <= 3
+            ready.add(width)
+        assert set(widths) <= ready
+
+
+@pytest.mark.parametrize("widths", [(1, 2, 5), (7, 40), (3, 6, 12, 24, 48, 72)])
+def test_rolling_equals_sliding_frames(frame, widths):
+    from pyspark.sql import Window
+
+    df = frame(readings(400), SCHEMA)
+    got = features.rolling_features(df, ["plant_id"], ["ts", "id"], ("ta",), widths, ("mean", "std", "sum"))
+    spec = Window.partitionBy("plant_id").orderBy("ts", "id")
+    want = df
+    for w in widths:
+        at = spec.rowsBetween(1 - w, 0)
+        want = want.withColumns(
+            {f"ta_mean_{w}h": F.avg("ta").over(at), f"ta_std_{w}h": F.stddev_samp("ta").over(at), f"ta_sum_{w}h": F.sum("ta").over(at)}
+        )
+    columns = [c for c in want.columns if c.endswith("h")]
+    for a, b in zip(values(got, *columns, order=["id"]), values(want, *columns, order=["id"]), strict=True):
+        assert a == pytest.approx(b, abs=1e-9)
+
+
+def test_rolling_does_not_lose_digits_behind_large_values(frame):
+    rows = [("a", i, 1e12 if i < 50 else 1.0 + (i % 2) * 1e-3) for i in range(100)]
+    out = features.rolling_features(frame(rows, "p string, t int, ta double"), ["p"], ["t"], ("ta",), (6,))
+    last = values(out, "t", "ta_mean_6h", "ta_std_6h")[-1]
+    assert last[1] == pytest.approx(1.0005, abs=1e-12) and last[2] == pytest.approx(1e-3 * math.sqrt(0.3), rel=1e-9)

@@ -38,19 +38,85 @@ def lag_columns(
     ]
 
 
-def rolling_columns(
-    spec: WindowSpec, have: Sequence[str], drivers: Sequence[str], widths: Sequence[int], stats: Sequence[str]
-) -> list[Column]:
-    """``<driver>_<stat>_<w>h`` over the last ``w`` rows, nulls skipped; std is the sample deviation."""
-    functions = {"mean": F.avg, "std": F.stddev_samp, "sum": F.sum}
+def _parts_of(width: int, ready: Sequence[int]) -> list[int]:
+    """Greatest widths of ``ready`` first, adding up to ``width``."""
+    parts = []
+    for r in sorted(ready, reverse=True):
+        while width >= r:
+            parts.append(r)
+            width -= r
+    return parts
+
+
+def _chain(widths: Sequence[int]) -> list[tuple[int, list[int]]]:
+    """Every width as a sum of few smaller ones, doubling from 1 where the given widths are far apart.
+
+    3, 6, 12, 24, 48, 72 become 1+1+1, 3+3, 6+6, 12+12, 24+24 and 48+24.
+    """
+    ready, steps = [1], []
+    for width in sorted(set(widths) - {1}):
+        while len(_parts_of(width, ready)) > 3:
+            step = 2 * max(r for r in ready if 2 * r <= width)
+            steps.append((step, [step // 2, step // 2]))
+            ready.append(step)
+        steps.append((width, _parts_of(width, ready)))
+        ready.append(width)
+    return steps
+
+
+def add_rolling(
+    df: DataFrame, spec: WindowSpec, drivers: Sequence[str], widths: Sequence[int], stats: Sequence[str]
+) -> DataFrame:
+    """``<driver>_<stat>_<w>h`` over the last ``w`` rows, nulls skipped; std is the sample deviation.
+
+    A sliding frame adds up all its rows again for every row. Here the state of a window (count, sum,
+    squared deviations) is put together from the states of two or three shorter windows that lie end
+    to end, read with ``lag``. States are only ever added, never subtracted, so nothing is lost to
+    rounding, and the work per row does not grow with the width.
+    """
+    columns = list(df.columns)
+    have = [d for d in drivers if d in columns]
+    squares = "std" in stats
+    state = lambda d, w, part: f"_{part}_{d}_{w}"
+
+    def merged(d: str, parts: list[int]) -> dict[str, Column]:
+        """State of the windows ``parts`` one before the other, the first ending at this row."""
+        n, total, dev = (F.col(state(d, parts[0], p)) if p != "m" or squares else None for p in "nsm")
+        back = parts[0]
+        for w in parts[1:]:
+            n2, total2 = (F.lag(state(d, w, p), back, 0.0).over(spec) for p in "ns")
+            if squares:
+                dev2 = F.lag(state(d, w, "m"), back, 0.0).over(spec)
+                apart = total2 / F.greatest(n2, F.lit(1.0)) - total / F.greatest(n, F.lit(1.0))
+                share = n * n2 / F.greatest(n + n2, F.lit(1.0))
+                dev = dev + dev2 + apart * apart * share
+            n, total, back = n + n2, total + total2, back + w
+        return {"n": n, "s": total} | ({"m": dev} if squares else {})
+
+    first: dict[str, Column] = {}
+    for d in have:
+        value = F.col(d).cast("double")
+        first[state(d, 1, "n")] = F.when(value.isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0))
+        first[state(d, 1, "s")] = F.coalesce(value, F.lit(0.0))
+        if squares:
+            first[state(d, 1, "m")] = F.lit(0.0)
+    df = df.withColumns(first) if first else df
+    for width, parts in _chain(widths):
+        made = {state(d, width, p): c for d in have for p, c in merged(d, parts).items()}
+        df = df.withColumns(made) if made else df
     out = []
     for d in drivers:
         for w in widths:
-            frame = spec.rowsBetween(1 - w, 0)
-            for stat in stats:
-                value = functions[stat](d).over(frame) if d in have else F.lit(None).cast("double")
-                out.append(value.alias(f"{d}_{stat}_{w}h"))
-    return out
+            n, total, dev = (F.col(state(d, w, p)) for p in "nsm")
+            values = {
+                "mean": F.when(n > 0, total / n),
+                "sum": F.when(n > 0, total),
+                "std": F.when(n > 1, F.sqrt(dev / (n - 1))),
+            }
+            out += [
+                (values[s] if d in have else F.lit(None).cast("double")).alias(f"{d}_{s}_{w}h") for s in stats
+            ]
+    return df.select(*columns, *out)
 
 
 def lag_features(
@@ -63,9 +129,8 @@ def lag_features(
     **size,
 ) -> DataFrame:
     """Row lags; a lag never crosses from one series into the next."""
-    return windowed(
-        df, keys, order, lambda w: lag_columns(w, df.columns, drivers, lags, max_lag), max(lags), **size
-    )
+    add = lambda rows, w: rows.select("*", *lag_columns(w, df.columns, drivers, lags, max_lag))
+    return windowed(df, keys, order, add, max(lags), **size)
 
 
 def rolling_features(
@@ -78,9 +143,8 @@ def rolling_features(
     **size,
 ) -> DataFrame:
     """Rolling statistics over the last rows of the series, the current row included."""
-    return windowed(
-        df, keys, order, lambda w: rolling_columns(w, df.columns, drivers, widths, stats), max(widths), **size
-    )
+    add = lambda rows, w: add_rolling(rows, w, drivers, widths, stats)
+    return windowed(df, keys, order, add, max(widths), **size)
 
 
 def series_features(
@@ -93,14 +157,13 @@ def series_features(
     widths: Sequence[int] = ROLLING_WIDTHS,
     **size,
 ) -> DataFrame:
-    """Lags and rolling statistics together in one pass over the sorted series."""
+    """Lags and rolling statistics together over one exchange and one sort."""
 
-    def build(spec: WindowSpec) -> list[Column]:
-        return lag_columns(spec, df.columns, lag_drivers, lags) + rolling_columns(
-            spec, df.columns, rolling_drivers, widths, ("mean", "std")
-        )
+    def add(rows: DataFrame, spec: WindowSpec) -> DataFrame:
+        lagged = rows.select("*", *lag_columns(spec, df.columns, lag_drivers, lags))
+        return add_rolling(lagged, spec, rolling_drivers, widths, ("mean", "std"))
 
-    return windowed(df, keys, order, build, max([*lags, *widths]), **size)
+    return windowed(df, keys, order, add, max([*lags, *widths]), **size)
 
 
 def rolling_mean_time(
@@ -161,7 +224,7 @@ def rolling_slope(
     numbering of the series.
     """
 
-    def build(spec: WindowSpec) -> list[Column]:
+    def add(rows: DataFrame, spec: WindowSpec) -> DataFrame:
         x = [F.lit(float(-k)) for k in range(width)]
         y = [F.col(driver) if k == 0 else F.lag(driver, k).over(spec) for k in range(width)]
         has = [F.when(v.isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0)) for v in y]
@@ -171,9 +234,10 @@ def rolling_slope(
         sy = sum(val[1:], val[0])
         sxy = sum((a * v for a, v in zip(x[1:], val[1:])), x[0] * val[0])
         sxx = sum((a * a * h for a, h in zip(x[1:], has[1:])), x[0] * x[0] * has[0])
-        return [F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx).alias(f"{driver}_slope_{width}h")]
+        slope = F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx)
+        return rows.select("*", slope.alias(f"{driver}_slope_{width}h"))
 
-    return windowed(df, keys, order, build, width - 1, **size)
+    return windowed(df, keys, order, add, width - 1, **size)
 
 
 def precipitation_features(
@@ -181,16 +245,17 @@ def precipitation_features(
 ) -> DataFrame:
     """Rain of the row before (0 at the start), sums over 6 and 24 rows, share of the 6-row sum."""
 
-    def build(spec: WindowSpec) -> list[Column]:
+    def add(rows: DataFrame, spec: WindowSpec) -> DataFrame:
         last6 = F.sum(precip).over(spec.rowsBetween(-5, 0))
-        return [
+        return rows.select(
+            "*",
             F.coalesce(F.lag(precip, 1).over(spec), F.lit(0.0)).alias("recent_precip_1h"),
             last6.alias("recent_precip_6h"),
             F.sum(precip).over(spec.rowsBetween(-23, 0)).alias("recent_precip_24h"),
             (F.col(precip) / (last6 + F.lit(EPSILON))).alias("precip_intensity"),
-        ]
+        )
 
-    return windowed(df, keys, order, build, 23, **size)
+    return windowed(df, keys, order, add, 23, **size)
 
 
 def relative_to_max(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:

@@ -124,21 +124,21 @@ def windowed(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    build: Callable[[WindowSpec], list[Column]],
+    apply: Callable[[DataFrame, WindowSpec], DataFrame],
     look_back: int,
     max_rows: int = MAX_SERIES_ROWS,
     block_rows: int = BLOCK_ROWS,
     count_from: DataFrame | None = None,
 ) -> DataFrame:
-    """Adds the columns ``build(window)`` where the window is one series in order.
+    """Adds columns with ``apply(rows, window)``, where the window is one series in order.
 
-    ``build`` may look at most ``look_back`` rows back and never ahead. All its columns share the
-    window, so Spark plans one exchange, one sort and one window operator for them. ``count_from``
-    is a cheaper table holding at least the rows of ``df`` to find long series in.
+    ``apply`` may look at most ``look_back`` rows back and never ahead, and keeps all rows. Window
+    columns it adds in several steps share one exchange and one sort. ``count_from`` is a cheaper
+    table holding at least the rows of ``df`` to find long series in.
     """
 
     def plain(rows: DataFrame) -> DataFrame:
-        return rows.select("*", *build(Window.partitionBy(*keys).orderBy(*order)))
+        return apply(rows, Window.partitionBy(*keys).orderBy(*order))
 
     hot, n = hot_keys(df if count_from is None else count_from, keys, max_rows)
     if hot is None:
@@ -154,7 +154,7 @@ def windowed(
     )
     copied = placed.withColumn("_block", F.explode(copies))
     spec = Window.partitionBy(*keys, "_block").orderBy("_rank")
-    done = copied.select("*", *build(spec)).where(F.col("_block") == F.col("_own"))
+    done = apply(copied, spec).where(F.col("_block") == F.col("_own"))
     return plain(cold_rows).unionByName(done.drop("_rank", "_own", "_block"))
 
 
