@@ -182,7 +182,7 @@ def test_chain_covers_any_widths():
     for widths in ((168,), (5, 7, 100), (1,), (2,), (1000, 3)):
         ready = {1}
         for width, parts in features._chain(widths):
-            assert sum(parts) == width and set(parts) <= ready and len(parts) <= 3
+            assert sum(parts) == width and set(parts) <= ready and len(parts) <= width.bit_length() + 1
             ready.add(width)
         assert set(widths) <= ready
 

@@ -55,10 +55,12 @@ def _chain(widths: Sequence[int]) -> list[tuple[int, list[int]]]:
     """
     ready, steps = [1], []
     for width in sorted(set(widths) - {1}):
-        while len(_parts_of(width, ready)) > 3:
-            step = 2 * max(r for r in ready if 2 * r <= width)
-            steps.append((step, [step // 2, step // 2]))
-            ready.append(step)
+        step = 2 * max(r for r in ready if 2 * r <= width)
+        while len(_parts_of(width, ready)) > 3 and step <= width:
+            if step not in ready:
+                steps.append((step, [step // 2, step // 2]))
+                ready.append(step)
+            step *= 2
         steps.append((width, _parts_of(width, ready)))
         ready.append(width)
     return steps
