@@ -83,6 +83,19 @@ def test_archive_to_feature_table(spark, archive):
     assert verdict.accepted and verdict.reported_columns == 0
 
 
+def test_feature_table_of_long_series_and_hot_hours(spark):
+    wide = bindings.flow_wide(spark, SF)
+    flow = wide.unpivot(["site", "ts"], ["tree_1", "tree_2"], "plant_id", "sap_flow")
+    few = {"lags": (1, 24), "widths": (3, 72)}
+    plain = feature_table.build(flow, bindings.env(spark, SF), **few)
+    cut = feature_table.build(flow, bindings.env(spark, SF), **few, max_rows=1, block_rows=80)
+    columns = ["sap_flow", "ta", "sw_in_lag_1h", "vpd_lag_24h", "ta_mean_72h", "sw_in_std_72h", "hour"]
+    a, b = (values(t, *columns, order=["site", "plant_id", "ts"]) for t in (plain, cut))
+    assert len(a) == len(b) > 500
+    for x, y in zip(a, b, strict=True):
+        assert x == pytest.approx(y)
+
+
 def test_station_files_round_trip(spark, frame, tmp_path):
     df = frame([("a", "2020-01-01 00:00:00", 1.25, None), ("b", "2020-01-01 00:00:00", None, 2.5)], "site string, TIMESTAMP string, x double, y double")
     for compress in (False, True):

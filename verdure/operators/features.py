@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdure.operators.joins import lookup_join
-from verdure.operators.ordered import windowed
+from verdure.operators.ordered import Over, windowed
 
 # Drivers, lag steps and rolling widths of the feature table.
 LAG_DRIVERS = ("ta", "rh", "vpd", "sw_in", "ws", "precip", "swc_shallow", "ppfd_in")
@@ -27,15 +27,12 @@ _SPAN_WINDOWS = 8
 
 
 def lag_columns(
-    spec: WindowSpec, have: Sequence[str], drivers: Sequence[str], lags: Sequence[int], max_lag: int | None = None
-) -> list[Column]:
+    over: Over, have: Sequence[str], drivers: Sequence[str], lags: Sequence[int], max_lag: int | None = None
+) -> list[str]:
     """``<driver>_lag_<k>h`` for every driver and step; a driver the table lacks gives null columns."""
     kept = [k for k in lags if max_lag is None or k <= max_lag]
-    return [
-        (F.lag(d, k).over(spec) if d in have else F.lit(None).cast("double")).alias(f"{d}_lag_{k}h")
-        for d in drivers
-        for k in kept
-    ]
+    value = lambda d, k: f"lag(`{d}`, {k}) {over}" if d in have else "CAST(NULL AS DOUBLE)"
+    return [f"{value(d, k)} AS `{d}_lag_{k}h`" for d in drivers for k in kept]
 
 
 def _parts_of(width: int, ready: Sequence[int]) -> list[int]:
@@ -67,7 +64,7 @@ def _chain(widths: Sequence[int]) -> list[tuple[int, list[int]]]:
 
 
 def add_rolling(
-    df: DataFrame, spec: WindowSpec, drivers: Sequence[str], widths: Sequence[int], stats: Sequence[str]
+    df: DataFrame, over: Over, drivers: Sequence[str], widths: Sequence[int], stats: Sequence[str]
 ) -> DataFrame:
     """``<driver>_<stat>_<w>h`` over the last ``w`` rows, nulls skipped; std is the sample deviation.
 
@@ -78,47 +75,53 @@ def add_rolling(
     """
     columns = list(df.columns)
     have = [d for d in drivers if d in columns]
-    squares = "std" in stats
-    state = lambda d, w, part: f"_{part}_{d}_{w}"
-
-    def merged(d: str, parts: list[int]) -> dict[str, Column]:
-        """State of the windows ``parts`` one before the other, the first ending at this row."""
-        n, total, dev = (F.col(state(d, parts[0], p)) if p != "m" or squares else None for p in "nsm")
-        back = parts[0]
-        for w in parts[1:]:
-            n2, total2 = (F.lag(state(d, w, p), back, 0.0).over(spec) for p in "ns")
-            if squares:
-                dev2 = F.lag(state(d, w, "m"), back, 0.0).over(spec)
-                apart = total2 / F.greatest(n2, F.lit(1.0)) - total / F.greatest(n, F.lit(1.0))
-                share = n * n2 / F.greatest(n + n2, F.lit(1.0))
-                dev = dev + dev2 + apart * apart * share
-            n, total, back = n + n2, total + total2, back + w
-        return {"n": n, "s": total} | ({"m": dev} if squares else {})
-
-    first: dict[str, Column] = {}
-    for d in have:
-        value = F.col(d).cast("double")
-        first[state(d, 1, "n")] = F.when(value.isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0))
-        first[state(d, 1, "s")] = F.coalesce(value, F.lit(0.0))
-        if squares:
-            first[state(d, 1, "m")] = F.lit(0.0)
-    df = df.withColumns(first) if first else df
-    for width, parts in _chain(widths):
-        made = {state(d, width, p): c for d in have for p, c in merged(d, parts).items()}
-        df = df.withColumns(made) if made else df
+    parts = ["n", "s", "m"] if "std" in stats else ["n", "s"]
+    number = {d: i for i, d in enumerate(drivers)}
+    state = lambda d, width, part, back=0: f"`_{part}{number[d]}_{width}_{back}`"
+
+    if have:
+        first = []
+        for d in have:
+            first.append(f"CASE WHEN `{d}` IS NULL THEN 0D ELSE 1D END AS {state(d, 1, 'n')}")
+            first.append(f"coalesce(CAST(`{d}` AS DOUBLE), 0D) AS {state(d, 1, 's')}")
+            first.append(f"0D AS {state(d, 1, 'm')}")
+        df = df.selectExpr("*", *first)
+    for width, pieces in _chain(widths) if have else []:
+        # the shorter windows further back, as they stood that many rows ago
+        earlier = [(piece, sum(pieces[:i])) for i, piece in enumerate(pieces) if i]
+        df = df.selectExpr(
+            "*",
+            *[
+                f"lag({state(d, piece, p)}, {back}, 0D) {over} AS {state(d, piece, p, back)}"
+                for d in have
+                for piece, back in earlier
+                for p in parts
+            ],
+        )
+        made = []
+        for d in have:
+            n, total, deviation = (state(d, pieces[0], p) for p in "nsm")
+            for piece, back in earlier:
+                n2, total2, deviation2 = (state(d, piece, p, back) for p in "nsm")
+                apart = f"({total2} / greatest({n2}, 1D) - ({total}) / greatest({n}, 1D))"
+                share = f"({n}) * {n2} / greatest({n} + {n2}, 1D)"
+                deviation = f"{deviation} + {deviation2} + {apart} * {apart} * {share}"
+                n, total = f"{n} + {n2}", f"{total} + {total2}"
+            merged = {"n": n, "s": total, "m": deviation}
+            made += [f"{merged[p]} AS {state(d, width, p)}" for p in parts]
+        df = df.selectExpr("*", *made)
     out = []
     for d in drivers:
         for w in widths:
-            n, total, dev = (F.col(state(d, w, p)) for p in "nsm")
+            n, total, deviation = (state(d, w, p) for p in "nsm")
             values = {
-                "mean": F.when(n > 0, total / n),
-                "sum": F.when(n > 0, total),
-                "std": F.when(n > 1, F.sqrt(dev / (n - 1))),
+                "mean": f"CASE WHEN {n} > 0 THEN {total} / {n} END",
+                "sum": f"CASE WHEN {n} > 0 THEN {total} END",
+                "std": f"CASE WHEN {n} > 1 THEN sqrt({deviation} / ({n} - 1)) END",
             }
-            out += [
-                (values[s] if d in have else F.lit(None).cast("double")).alias(f"{d}_{s}_{w}h") for s in stats
-            ]
-    return df.select(*columns, *out)
+            for stat in stats:
+                out.append(f"{values[stat] if d in have else 'CAST(NULL AS DOUBLE)'} AS `{d}_{stat}_{w}h`")
+    return df.selectExpr(*[f"`{c}`" for c in columns], *out)
 
 
 def lag_features(
@@ -131,7 +134,7 @@ def lag_features(
     **size,
 ) -> DataFrame:
     """Row lags; a lag never crosses from one series into the next."""
-    add = lambda rows, w: rows.select("*", *lag_columns(w, df.columns, drivers, lags, max_lag))
+    add = lambda rows, w: rows.selectExpr("*", *lag_columns(w, df.columns, drivers, lags, max_lag))
     return windowed(df, keys, order, add, max(lags), **size)
 
 
@@ -161,9 +164,9 @@ def series_features(
 ) -> DataFrame:
     """Lags and rolling statistics together over one exchange and one sort."""
 
-    def add(rows: DataFrame, spec: WindowSpec) -> DataFrame:
-        lagged = rows.select("*", *lag_columns(spec, df.columns, lag_drivers, lags))
-        return add_rolling(lagged, spec, rolling_drivers, widths, ("mean", "std"))
+    def add(rows: DataFrame, over: Over) -> DataFrame:
+        lagged = rows.selectExpr("*", *lag_columns(over, df.columns, lag_drivers, lags))
+        return add_rolling(lagged, over, rolling_drivers, widths, ("mean", "std"))
 
     return windowed(df, keys, order, add, max([*lags, *widths]), **size)
 
@@ -226,9 +229,9 @@ def rolling_slope(
     numbering of the series.
     """
 
-    def add(rows: DataFrame, spec: WindowSpec) -> DataFrame:
+    def add(rows: DataFrame, over: Over) -> DataFrame:
         x = [F.lit(float(-k)) for k in range(width)]
-        y = [F.col(driver) if k == 0 else F.lag(driver, k).over(spec) for k in range(width)]
+        y = [F.col(driver) if k == 0 else F.expr(f"lag(`{driver}`, {k}) {over}") for k in range(width)]
         has = [F.when(v.isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0)) for v in y]
         val = [F.coalesce(v, F.lit(0.0)) for v in y]
         n = sum(has[1:], has[0])
@@ -247,14 +250,13 @@ def precipitation_features(
 ) -> DataFrame:
     """Rain of the row before (0 at the start), sums over 6 and 24 rows, share of the 6-row sum."""
 
-    def add(rows: DataFrame, spec: WindowSpec) -> DataFrame:
-        last6 = F.sum(precip).over(spec.rowsBetween(-5, 0))
-        return rows.select(
+    def add(rows: DataFrame, over: Over) -> DataFrame:
+        return rows.selectExpr(
             "*",
-            F.coalesce(F.lag(precip, 1).over(spec), F.lit(0.0)).alias("recent_precip_1h"),
-            last6.alias("recent_precip_6h"),
-            F.sum(precip).over(spec.rowsBetween(-23, 0)).alias("recent_precip_24h"),
-            (F.col(precip) / (last6 + F.lit(EPSILON))).alias("precip_intensity"),
+            f"coalesce(lag(`{precip}`, 1) {over}, 0D) AS recent_precip_1h",
+            f"sum(`{precip}`) {over.last(6)} AS recent_precip_6h",
+            f"sum(`{precip}`) {over.last(24)} AS recent_precip_24h",
+            f"`{precip}` / (sum(`{precip}`) {over.last(6)} + {EPSILON}D) AS precip_intensity",
         )
 
     return windowed(df, keys, order, add, 23, **size)

@@ -6,7 +6,7 @@ Longer series take a second way, with the same result:
 
 1. their rows are range-partitioned and sorted on (key, order), which cuts a long series into
    even pieces, and written once together with their position;
-2. piece sizes (one row per piece, a few thousand at most) give each piece its offset;
+2. piece sizes (one row per piece and series) give each piece its offset;
 3. windows run on blocks of consecutive positions, each preceded by a copy of the rows it needs
    to look back at.
 
@@ -19,7 +19,7 @@ import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdure.session import materialize
@@ -27,6 +27,8 @@ from verdure.session import materialize
 # Rows one task may sort for a single series; above this a series is cut into blocks.
 MAX_SERIES_ROWS = 20_000_000
 BLOCK_ROWS = 2_000_000
+# Tasks of the range partitioning; beyond this many the pieces grow instead, and their sort spills.
+MAX_PIECES = 20_000
 # monotonically_increasing_id keeps the partition number above the low 33 bits.
 _POSITION_BITS = 33
 
@@ -59,7 +61,7 @@ def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataF
 
 def _positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int, block_rows: int) -> DataFrame:
     """Rows sorted over (keys, order) with ``_pos`` rising along that order and ``_piece`` = its task."""
-    pieces = max(2, math.ceil(rows / block_rows))
+    pieces = min(max(2, math.ceil(rows / block_rows)), MAX_PIECES)
     # the source task is the last sort column, so that equal rows can still be cut apart
     by = [*keys, *order, "_source"]
     tagged = df.withColumn("_source", F.spark_partition_id())
@@ -120,17 +122,34 @@ def ranked(
     )
 
 
+class Over:
+    """SQL text of a window over one series in order, optionally only its last rows.
+
+    Feature tables have hundreds of window columns; as texts they reach Spark in a few calls.
+    """
+
+    def __init__(self, keys: Sequence[str], order: Sequence[str]):
+        parts = ", ".join(f"`{k}`" for k in keys)
+        self._body = (f"PARTITION BY {parts} " if keys else "") + "ORDER BY " + ", ".join(f"`{o}`" for o in order)
+
+    def __str__(self) -> str:
+        return f"OVER ({self._body})"
+
+    def last(self, rows: int) -> str:
+        return f"OVER ({self._body} ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW)"
+
+
 def windowed(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    apply: Callable[[DataFrame, WindowSpec], DataFrame],
+    apply: Callable[[DataFrame, Over], DataFrame],
     look_back: int,
     max_rows: int = MAX_SERIES_ROWS,
     block_rows: int = BLOCK_ROWS,
     count_from: DataFrame | None = None,
 ) -> DataFrame:
-    """Adds columns with ``apply(rows, window)``, where the window is one series in order.
+    """Adds columns with ``apply(rows, over)``, where ``over`` is the window of one series in order.
 
     ``apply`` may look at most ``look_back`` rows back and never ahead, and keeps all rows. Window
     columns it adds in several steps share one exchange and one sort. ``count_from`` is a cheaper
@@ -138,7 +157,7 @@ def windowed(
     """
 
     def plain(rows: DataFrame) -> DataFrame:
-        return apply(rows, Window.partitionBy(*keys).orderBy(*order))
+        return apply(rows, Over(keys, order))
 
     hot, n = hot_keys(df if count_from is None else count_from, keys, max_rows)
     if hot is None:
@@ -153,8 +172,7 @@ def windowed(
         F.array(F.col("_own"))
     )
     copied = placed.withColumn("_block", F.explode(copies))
-    spec = Window.partitionBy(*keys, "_block").orderBy("_rank")
-    done = apply(copied, spec).where(F.col("_block") == F.col("_own"))
+    done = apply(copied, Over([*keys, "_block"], ["_rank"])).where(F.col("_block") == F.col("_own"))
     return plain(cold_rows).unionByName(done.drop("_rank", "_own", "_block"))
 
 
