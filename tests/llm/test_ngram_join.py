@@ -86,3 +86,17 @@ def test_special_rows_and_clashing_columns(spark):
     assert order(found(jaccard_join(df))) == order(brute(rows))
     assert jaccard_join(df.limit(0)).count() == 0
     assert jaccard_join(df.where("text is null").withColumn("prefix", F.lit(1))).count() == 1
+
+
+def test_large_sets_give_the_same_links(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LARGE", 64)
+    rows = corpus(5, groups=20, extra=20)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert order(found(jaccard_join(df))) == order(brute(rows))
+
+
+def test_salted_elements_give_the_same_links(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT", 2)
+    rows = corpus(4, groups=12, extra=20)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert order(found(jaccard_join(df))) == order(brute(rows))

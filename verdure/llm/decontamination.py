@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdure.llm import wordhash
+from verdure.llm.bitmaps import bitmap_of, passes
 from verdure.session import materialize
 
 # Words for numbers and units that make a number a quantity.
@@ -43,7 +44,6 @@ _TRIMMED = np.isin(np.arange(256), [ord(c) for c in "!\"#&'()*,-./:;<=>?@[\\]^_`
 _DIGIT = np.isin(np.arange(256), [*range(48, 58)])
 _JOINER = np.isin(np.arange(256), [ord(c) for c in ".,:/-"])
 _MEASURE = re.compile(rb"[$\xe2\x82\xac\xc2\xa3]*([0-9][0-9.,:/-]*)(.*)", re.S)
-BITS = 24
 LEAST_TOKENS = 5
 
 
@@ -171,13 +171,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 8, coverage
 
     listed = items.mapInArrow(item_windows, "item_id long, tokens long, start long, length int, key long, slots array<long>")
     listed = materialize(listed, "benchmark")
-    bitmap = np.zeros(1 << BITS >> 3, np.uint8)
-    cells = listed.select(F.shiftrightunsigned("key", 64 - BITS).alias("cell"))
-    bytes_ = cells.groupBy(F.shiftright("cell", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(cell % 8 as int))")).alias("bits"))
-    for row in bytes_.collect():  # at most one row per byte of the bitmap
-        bitmap[row.byte] = row.bits
     lengths = sorted(r[0] for r in listed.select("length").distinct().collect())
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(listed, "key"))
 
     def document_windows(batches):
         for batch in batches:
@@ -185,8 +180,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 8, coverage
                 t = Templates(part.column("text"))
                 for length in lengths:
                     row, start, key = t.windows(length)
-                    cell = key >> np.uint64(64 - BITS)
-                    hit = (shared.value[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                    hit = passes(shared.value, key)
                     row, start, key = row[hit], start[hit], key[hit]
                     if len(row):
                         yield _window_batch(t, row, start, key, length, {"digest": part.column("digest").take(pa.array(row))})

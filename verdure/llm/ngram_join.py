@@ -6,7 +6,11 @@
    documents, whose size is fixed (``CELLS`` bytes at the driver). Any order gives the same links; a good one keeps
    frequent passages out of the prefixes.
 3. Linked sets of ``n`` elements share one of their first ``n - ceil(t * n) + 1`` elements and have sizes within the
-   threshold of each other. Classes sharing such an element at a compatible size belong to one candidate group.
+   threshold of each other. The prefixes are dealt by element once and read as a sorted stream, which holds one row at
+   a time; elements that the sketch counts more than ``HOT`` times are salted. Classes that share an element at a
+   compatible size are then compared by profile (their elements counted by hash range, whose differences add up to no
+   more than those of the sets). Large sets have prefixes longer by ``l - 1`` and share ``l`` elements of them if they
+   are linked. What passes connects the classes to candidate groups.
 4. Each group is joined in a task that stores its sets in a trie. The overlaps of all query sets with a trie path are
    counted once for everything below the path; a subtree is left as soon as no query set can still reach the
    threshold with the elements that remain. Groups above ``TILE`` elements are cut into chunks, and one task joins
@@ -17,16 +21,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdure.llm import wordhash
+from verdure.llm.bitmaps import bitmap_of, passes
 from verdure.llm.components import components
 from verdure.session import materialize
 
 CELLS = 1 << 20  # counters of the sketch, one byte each at the driver
 TILE = 1 << 19  # n-grams of one chunk of a candidate group
+HOT = 1 << 20  # documents of an element from which its prefix entries are dealt to several tasks
+_SALTS = 64
+_RANGES = 64  # counts of a profile
+LARGE = 1024  # elements from which several shared prefix elements are asked for
 _BLOCK = 1 << 14
 
 
@@ -53,12 +61,13 @@ def jaccard_join(docs: DataFrame, words: int = 3, numerator: int = 9, denominato
                         part.column("doc_id").cast(pa.int64()),
                         pa.array(sizes),
                         _signatures(values, bounds),
+                        _profiles(values, bounds),
                         pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(prefix.view(np.int64))),
                     ],
-                    ["doc_id", "n_shingles", "sig", "prefix"],
+                    ["doc_id", "n_shingles", "sig", "profile", "prefix"],
                 )
 
-    sets = docs.mapInArrow(sets_of, "doc_id long, n_shingles long, sig binary, prefix array<long>")
+    sets = docs.mapInArrow(sets_of, "doc_id long, n_shingles long, sig binary, profile binary, prefix array<long>")
     sets = materialize(sets, "sets")
     classes = (
         sets.where("doc_id is not null and n_shingles > 0")
@@ -67,12 +76,13 @@ def jaccard_join(docs: DataFrame, words: int = 3, numerator: int = 9, denominato
             F.min("doc_id").alias("first_id"),
             F.count("*").alias("copies"),
             F.first("n_shingles").alias("n"),
+            F.first("profile").alias("profile"),
             F.first("prefix").alias("prefix"),
         )
     )
     classes = materialize(classes, "classes")
-    groups = components(_candidates(classes, numerator, denominator))
-    members = classes.drop("prefix").join(groups.withColumnRenamed("node", "sig"), "sig")
+    groups = components(_candidates(classes, levels, numerator, denominator))
+    members = classes.drop("prefix", "profile").withColumn("node", _short("sig")).join(groups, "node").drop("node")
     linked = materialize(_join_groups(docs, members, words, numerator, denominator), "links")
     roots = components(linked.select(F.col("sig").alias("a"), F.col("peer").alias("b")))
     found = linked.groupBy("sig").agg(F.sum("links").alias("links")).join(roots.withColumnRenamed("node", "sig"), "sig")
@@ -85,8 +95,8 @@ def jaccard_join(docs: DataFrame, words: int = 3, numerator: int = 9, denominato
         "copies",
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
     )
-    grouped = sets.drop("prefix").where("doc_id is not null and n_shingles > 0").join(classes, "sig")
-    alone = sets.where("doc_id is null or n_shingles = 0")
+    grouped = sets.drop("prefix", "profile").where("doc_id is not null and n_shingles > 0").join(classes, "sig")
+    alone = sets.drop("prefix", "profile").where("doc_id is null or n_shingles = 0")
     return grouped.select(
         "doc_id",
         "n_shingles",
@@ -118,6 +128,15 @@ def _signatures(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(out), [None, pa.py_buffer(out.tobytes())]).cast(pa.binary())
 
 
+def _profiles(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """How many elements of each set fall into each of ``_RANGES`` hash ranges; counts stop at 65535."""
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    # bits that neither the order of the prefixes nor the sketch uses
+    cell = doc * _RANGES + ((values >> np.uint64(20)) % np.uint64(_RANGES)).astype(np.int64)
+    counts = np.minimum(np.bincount(cell, minlength=(len(bounds) - 1) * _RANGES), 65535).astype("<u2")
+    return pa.array([c.tobytes() for c in counts.reshape(-1, _RANGES)], pa.binary())
+
+
 def _cells(values: np.ndarray) -> np.ndarray:
     return (values >> np.uint64(44)).astype(np.int64)
 
@@ -153,9 +172,14 @@ def _frequency_levels(docs: DataFrame, words: int) -> np.ndarray:
     return levels
 
 
+def _least_shared(n: np.ndarray) -> np.ndarray:
+    """Prefix elements that linked sets share: one, or more for large sets, whose prefixes are longer by the rest."""
+    return np.where(n < LARGE, 1, 1 + n // 64)
+
+
 def _prefixes(values, bounds, levels, numerator, denominator):
     sizes = np.diff(bounds)
-    keep = np.where(sizes > 0, sizes - -(-numerator * sizes // denominator) + 1, 0)
+    keep = np.minimum(sizes - -(-numerator * sizes // denominator) + _least_shared(sizes), sizes)
     ends = np.concatenate([[0], np.cumsum(keep)])
     out = np.zeros(int(ends[-1]), np.uint64)
     level = levels[_cells(values)]
@@ -165,26 +189,136 @@ def _prefixes(values, bounds, levels, numerator, denominator):
     return out, ends
 
 
-def _candidates(classes: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Edges that tie together all classes which share a prefix element at compatible sizes.
+def _short(sig: str) -> Column:
+    """64 bits of a signature. Equal ones only make candidate groups larger."""
+    return F.conv(F.hex(F.substring(sig, 1, 8)), 16, -10).cast("long")
 
-    Sizes fall into bands one threshold wide, so linked sets lie in the same band or in neighbouring ones. An element
-    has a hub for each pair of neighbouring bands; an edge leads from a class to the smallest class of the hub.
+
+def _candidates(classes: DataFrame, levels, numerator: int, denominator: int) -> DataFrame:
+    """Edges that connect all classes which share a prefix element and may be linked by size and profile.
+
+    Sizes fall into bands one threshold wide, so linked sets lie in the same band or in neighbouring ones. Classes with
+    a hot element are connected without a look at their profiles.
     """
     width = float(np.log(denominator / numerator) * 1.0001)
-    postings = classes.select("sig", "n", F.explode("prefix").alias("token"))
-    shared = postings.groupBy("token").count().where("count > 1").select("token")
-    band = F.floor(F.log("n") / width)
-    keyed = postings.join(shared, "token").select(
-        "sig", "token", F.explode(F.array(band, band + 1)).alias("band")
-    )
-    keyed = materialize(keyed, "postings")
-    hubs = keyed.groupBy("token", "band").agg(F.min("sig").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    return keyed.join(hubs, ["token", "band"]).where("sig <> hub").select(F.col("sig").alias("a"), F.col("hub").alias("b")).distinct()
+
+    def post(batches):
+        for batch in batches:
+            prefix = batch.column("prefix")
+            tokens = prefix.flatten().to_numpy().view(np.uint64)
+            node, band = (np.repeat(batch.column(c).to_numpy(), np.diff(prefix.offsets.to_numpy())) for c in ("node", "band"))
+            hot = levels.value[_cells(tokens)] > 4 * np.log2(HOT)
+            salt = np.where(hot, 1 + (node & (_SALTS - 1)), 0).astype(np.int32)
+            columns = [pa.array(tokens.view(np.int64)), pa.array(salt), pa.array(band), pa.array(node)]
+            yield pa.RecordBatch.from_arrays(columns, ["token", "salt", "band", "node"])
+
+    band = F.floor(F.log("n") / width).cast("int").alias("band")
+    named = classes.withColumn("node", _short("sig"))
+    postings = named.select("node", band, "prefix").mapInArrow(post, "token long, salt int, band int, node long")
+    dealt = postings.repartition("token", "salt").sortWithinPartitions("token", "salt", "band", "node")
+    shared = materialize(dealt.mapInArrow(_shared, "token long, band int, a long, b long"), "shared")
+    hot = shared.where("b is not null").select("a", "b")
+
+    def compare(batches):
+        parts = [[*(c.to_numpy() for c in b.columns[:4]), _counts(b.column("profile"))] for b in batches]
+        if parts:
+            pairs = _alike(*(np.concatenate(c) for c in zip(*parts)), numerator, denominator)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs], ["a", "b", "need"])
+
+    cold = shared.where("b is null").select("token", "band", F.col("a").alias("node"))
+    cold = cold.join(named.select("node", "n", "profile"), "node").select("token", "band", "node", "n", "profile")
+    alike = cold.repartition("token").mapInArrow(compare, "a long, b long, need long")
+    alike = alike.groupBy("a", "b").agg(F.min("need").alias("need"), F.count("*").alias("n")).where("n >= need")
+    return hot.unionByName(alike.select("a", "b")).distinct()
+
+
+def _shared(batches):
+    """Rows of a stream sorted by element, salt, band and class that have a neighbour at a compatible size.
+
+    A row of an ordinary element comes back as ``(token, band, a)``. For a salted one there is an edge ``(a, b)`` to a
+    node of the element and each pair of neighbouring bands. The last row is carried from batch to batch.
+    """
+    carried, known = None, False
+    for batch in batches:
+        token, salt, band, node = (c.to_numpy() for c in batch.columns)
+        if len(token) == 0:
+            continue
+        told = np.zeros(len(token), bool)
+        if carried is not None:
+            token, salt, band, node = (np.concatenate([[x], c]) for x, c in zip(carried, (token, salt, band, node)))
+            told = np.append(known, told)
+        close = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1]) & (band[1:] - band[:-1] <= 1)
+        near = np.append(close, False)
+        near[1:] |= close
+        own = np.flatnonzero((near | (salt > 0)) & ~told)
+        plain, hot = own[salt[own] == 0], own[salt[own] > 0]
+        hot = np.repeat(hot, 2)
+        meet = token[hot].view(np.uint64) + band[hot].astype(np.uint64) + np.tile([0, 1], len(hot) // 2).astype(np.uint64)
+        none = np.arange(len(plain) + len(hot)) < len(plain)
+        columns = [
+            pa.array(token[np.append(plain, hot)]),
+            pa.array(band[np.append(plain, hot)]),
+            pa.array(node[np.append(plain, hot)]),
+            pa.array(np.append(np.zeros(len(plain), np.int64), wordhash.mix(meet).view(np.int64)), mask=none),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["token", "band", "a", "b"])
+        carried, known = (token[-1], salt[-1], band[-1], node[-1]), bool(near[-1] or salt[-1] > 0)
+
+
+def _counts(profiles: pa.Array) -> np.ndarray:
+    """The profiles of a column as rows of counts."""
+    raw = np.frombuffer(b"".join(profiles.to_pylist()), "<u2")
+    return raw.reshape(-1, _RANGES)
+
+
+def _alike(token, band, node, n, profile, numerator, denominator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs ``a, b, need`` whose sizes and profiles allow a link, element by element.
+
+    A pair counts once it has ``need`` elements. Of more than 32 classes with an element only as many pairs come back
+    as connect them, and these count at once.
+    """
+    order = np.lexsort((node, band, token))
+    token, band, node, n, profile = (x[order] for x in (token, band, node, n, profile))
+    fresh = np.ones(len(token), bool)
+    fresh[1:] = (token[1:] != token[:-1]) | (band[1:] - band[:-1] > 1)
+    start = np.flatnonzero(fresh)
+    size = np.diff(np.append(start, len(token)))
+    run = np.repeat(np.arange(len(start)), size)
+
+    def allowed(x, y):
+        apart = np.abs(profile[x].astype(np.int32) - profile[y]).sum(axis=-1)
+        fit = (numerator + denominator) * apart <= (denominator - numerator) * (n[x] + n[y])
+        return fit & (denominator * np.minimum(n[x], n[y]) >= numerator * np.maximum(n[x], n[y]))
+
+    left, right, need = [node[:0]], [node[:0]], [node[:0]]
+    small = np.repeat(size <= 32, size)
+    for step in range(1, 32):
+        at = np.flatnonzero(small[:-step] & (run[:-step] == run[step:])) if step < len(run) else start[:0]
+        if len(at) == 0:
+            break
+        for part in np.array_split(at, len(at) // 8192 + 1):
+            part = part[allowed(part, part + step)]
+            left.append(np.minimum(node[part], node[part + step]))
+            right.append(np.maximum(node[part], node[part + step]))
+            need.append(np.minimum(_least_shared(n[part]), _least_shared(n[part + step])))
+    for a, count in zip(start[size > 32], size[size > 32]):
+        label = np.arange(count)
+        for k in range(count - 1):
+            rest = np.flatnonzero(label[k + 1 :] != label[k]) + k + 1
+            near = rest[allowed(a + k, a + rest)] if len(rest) else rest
+            if len(near):
+                # one pair for each part that gets connected
+                parts, first = np.unique(label[near], return_index=True)
+                left.append(np.minimum(node[a + k], node[a + near[first]]))
+                right.append(np.maximum(node[a + k], node[a + near[first]]))
+                need.append(np.ones(len(parts), np.int64))
+                label[np.isin(label, parts)] = label[k]
+    return np.concatenate(left), np.concatenate(right), np.concatenate(need)
 
 
 def _join_groups(docs: DataFrame, members: DataFrame, words: int, numerator: int, denominator: int) -> DataFrame:
     """``sig, peer, links`` per class and task: the links found there and a class of the same component."""
+    members = materialize(members, "members")
     sizes = members.groupBy("root").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("chunks"))
     members = members.join(sizes, "root").select(
         F.col("first_id").alias("doc_id"),
@@ -195,19 +329,21 @@ def _join_groups(docs: DataFrame, members: DataFrame, words: int, numerator: int
         F.expr("cast(pmod(xxhash64(sig), chunks) as int)").alias("chunk"),
     )
 
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap_of(members.select(F.xxhash64("doc_id").alias("h")), "h"))
+
     def load(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(passes(wanted.value, batch.column("h").to_numpy().view(np.uint64))))
             for part in wordhash.slices(batch, "text"):
                 values, bounds = _sets(part.column("text"), words)
-                # a repeated doc_id brings other texts along; only the text of the class is meant
-                same = pc.equal(_signatures(values, bounds), part.column("sig"))
                 blobs = pa.array([values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
-                rest = [part.column(c) for c in ("sig", "root", "copies", "chunks", "chunk")]
-                yield pa.RecordBatch.from_arrays([*rest, blobs], ["sig", "root", "copies", "chunks", "chunk", "grams"]).filter(same)
+                columns = [part.column("doc_id").cast(pa.int64()), _signatures(values, bounds), blobs]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sig", "grams"])
 
-    loaded = docs.join(members, "doc_id").mapInArrow(
-        load, "sig binary, root binary, copies long, chunks int, chunk int, grams binary"
-    )
+    # sets are many times larger than members, which grow with the input: never the one to broadcast.
+    # a repeated doc_id may bring other texts along, so the signature has to agree too
+    known = docs.where("doc_id is not null").withColumn("h", F.xxhash64(F.col("doc_id").cast("long")))
+    loaded = known.mapInArrow(load, "doc_id long, sig binary, grams binary").join(members.hint("merge"), ["doc_id", "sig"])
     tiles = loaded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "root",
         F.least("chunk", "other").alias("i"),
