@@ -235,7 +235,8 @@ def captures(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
     ``page_id`` comes from the metadata record. ``refers_to`` is, for a revisit, the smallest page_id among the
     responses with its payload; null for responses and for a revisit whose response is in none of the files.
     """
-    rows = assemble(read_records(manifest, with_payload))
+    # written once, since requests, responses and metadata are three inputs of the joins
+    rows = assemble(materialize(read_records(manifest, with_payload), "records"))
     rows = rows.withColumn("page_id", F.get("metadata", 0)["fields"]["page-id"].cast("long"))
     rows = materialize(rows, "captures")
     digest, kind = F.col("response.payload_digest"), F.col("response.type")
