@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from test_sources import archive, put  # noqa: F401
 
 from verdure.plans import jobs
+from verdure.sources import sinks
 
 
 def test_second_run_adds_only_new_sites(spark, archive, tmp_path, frame):  # noqa: F811
@@ -47,3 +48,10 @@ def test_index_report(spark, frame):
     assert tables["statistics"].first().ndvi_median == 0.5
     assert {r.veg_class for r in tables["classes"].collect()} == {"moderate", "dense"}
     assert all(t.count() > 0 for t in tables.values())
+
+
+def test_overwriting_keeps_the_folders_of_other_sites(spark, tmp_path):
+    out = str(tmp_path / "out")
+    sinks.write_parquet(spark.createDataFrame([("A", 1), ("B", 2)], "site string, v int"), out)
+    sinks.write_parquet(spark.createDataFrame([("B", 3)], "site string, v int"), out, mode="overwrite")
+    assert sorted((r.site, r.v) for r in spark.read.parquet(out).collect()) == [("A", 1), ("B", 3)]

@@ -9,6 +9,7 @@ import pytest
 from conftest import SF, values
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verdure.operators import profile
 from verdure.plans import bindings, feature_table
@@ -238,3 +239,21 @@ def test_scratch_can_be_cleared(spark):
     assert Path(folder).exists()
     clear_scratch(spark)
     assert not Path(folder).exists()
+
+
+def test_counts_of_sites_that_arrive_out_of_time_order(spark, tmp_path):
+    arriving, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    schema = T.StructType([T.StructField("site", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("flag", T.StringType())])
+    for site, month in (("A", 6), ("B", 1), ("A", 6)):
+        row = [(site, datetime(2020, month, 3, 4), "OUT_WARN")]
+        spark.createDataFrame(row, schema).coalesce(1).write.mode("append").parquet(arriving)
+        jobs.daily_flag_counts(jobs.read_stream(spark, arriving, schema), out, progress).awaitTermination()
+    got = jobs.latest_flag_counts(spark, out).select("site", F.month("day").alias("m"), "total", "warn")
+    assert values(got, "site", "m", "total", "warn") == [("A", 6, 2, 2), ("B", 1, 1, 1)]
+
+
+@pytest.mark.parametrize("header, line", [(",TIMESTAMP,ta", "1,2020-01-01,5"), ("TIMESTAMP,,ta", "2020-01-01,9,5"), ("TIMESTAMP,NA,ta,ta", "2020-01-01,9,5,7")])
+def test_columns_without_a_name_shift_nothing(spark, tmp_path, header, line):
+    (tmp_path / "AA_ONE_env_data.csv").write_text(f"{header}\n{line}\n")
+    rows = stations.read_wide(spark, str(tmp_path), "env", ["ta"]).collect()
+    assert [(r.site, r.ta) for r in rows] == [("AA_ONE", 5.0)]

@@ -111,12 +111,12 @@ def fixed_test_split(spark, sf_dir):
 @query(
     "loso_split",
     """SELECT l_suppkey AS test_site, CAST(sum(n) OVER () AS BIGINT) - n AS train_rows, n AS test_rows FROM
-       (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_suppkey IN (SELECT DISTINCT l_suppkey FROM lineitem ORDER BY 1 LIMIT 20)
+       (SELECT l_suppkey, count(*) AS n FROM lineitem
         GROUP BY 1 HAVING count(*) >= 580) s""",
 )
 def loso_split(spark, sf_dir):
     rows = b.table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity")
-    return ops.leave_one_site_out(rows, "l_suppkey", min_rows=580, max_sites=20)[1]
+    return ops.leave_one_site_out(rows, "l_suppkey", min_rows=580)[1]
 
 
 _ORIGIN = """SELECT *, date_diff('microsecond', lo, ts) AS since, date_diff('microsecond', lo, hi) AS length,

@@ -84,9 +84,10 @@ def attach_plant_metadata(
 ) -> DataFrame:
     """Left join of plant attributes by plant code (and site, if the codes are per site).
 
-    With ``order`` the last row of a repeated code wins.
+    One row of a repeated code is attached: the last in the given order, without an order the largest by value.
     """
     kept = [c for c in columns if c in plants.columns]
+    order = order or kept
     if order:
         plants = last_per_key(plants.select(*dict.fromkeys([*site, code, *kept, *order])), [*site, code], order)
     picked = plants.select(*site, F.col(code).alias(plant_id), *kept)

@@ -167,7 +167,7 @@ def supported_sites(df: DataFrame, site: str = "site", min_rows: int = 100, max_
 
 
 def leave_one_site_out(
-    df: DataFrame, site: str = "site", min_rows: int = 100, max_sites: int | None = 20
+    df: DataFrame, site: str = "site", min_rows: int = 100, max_sites: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Rows of the supported sites, and one row per fold with its held-out site and sizes.
 

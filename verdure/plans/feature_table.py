@@ -54,7 +54,7 @@ def build(
     if site_table is not None:
         df = metadata.attach_site_metadata(df, site_table)
     if plants is not None:
-        df = metadata.attach_plant_metadata(df, plants)
+        df = metadata.attach_plant_metadata(df, plants, site=["site"] if "site" in plants.columns else ())
     df = metadata.derive_metadata(df)
     df = df.withColumns(derived.domain(df.columns))
     if interactions:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -56,12 +57,14 @@ def process_archive(
 
 
 def audit_archive(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """All flag audit tables of an archive. The audit per site is written once and shared."""
+    """All flag audit tables of an archive, empty without flag files. The audit per site is written once and shared."""
     kinds = [k for k in ("env", "sapf") if stations.has_files(spark, root, k, "flags")]
+    if not kinds:
+        none = spark.createDataFrame([], "site string, col_name string, flag string, kind string")
     long = [
         stations.read_long(spark, root, k, "flags", "col_name", "flag").withColumn("kind", F.lit(k)) for k in kinds
     ]
-    flags = long[0].unionByName(long[1]) if len(long) == 2 else long[0]
+    flags = reduce(DataFrame.unionByName, long) if long else none
     audit = materialize(quality.site_audit(flags), "audit")
     return {
         "sites": audit,

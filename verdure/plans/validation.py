@@ -40,7 +40,7 @@ def label(
     ts: str = "ts",
     order: Sequence[str] | None = None,
     folds: int = 5,
-    max_sites: int = 20,
+    max_sites: int | None = None,
     min_rows: int = 100,
     windows: int = 12,
     train_days: int = 30,

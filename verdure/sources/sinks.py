@@ -18,9 +18,10 @@ def _balanced(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def write_parquet(df: DataFrame, path: str, by: Sequence[str] = ("site",), compress: bool = True, mode: str = "error"):
-    """Parquet, one folder per site, snappy or uncompressed."""
+    """Parquet, one folder per site, snappy or uncompressed. ``overwrite`` replaces only the folders it writes."""
     codec = "snappy" if compress else "uncompressed"
-    _balanced(df, *by).write.mode(mode).option("compression", codec).partitionBy(*by).parquet(path)
+    out = _balanced(df, *by).write.mode(mode).option("compression", codec).option("partitionOverwriteMode", "dynamic")
+    out.partitionBy(*by).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, by: Sequence[str] = ("site",), compress: bool = False, mode: str = "error"):

@@ -22,8 +22,9 @@ from verdure.session import materialize
 KINDS = ("env", "sapf", "plant", "site", "species", "stand")
 PARTS = ("data", "flags", "md")
 _NAME = rf"(?:^|[/=])([^/=]+)_({'|'.join(KINDS)})_({'|'.join(PARTS)})\.csv(?:\.gz)?(?:/|$)"
-# A header line starts with the name of a time column or of a metadata column.
-_HEADER = r'^\s*"?(TIMESTAMP|solar_TIMESTAMP|(si|st|sp|env|pl)_[A-Za-z_]+"?(,|$))'
+# A header line has the name of a time column or of a metadata column in its first or second place: archives written
+# with row numbers have an unnamed column before it.
+_HEADER = r'^\s*(?:"?[^",]{0,20}"?,)?\s*"?(TIMESTAMP|solar_TIMESTAMP|(si|st|sp|env|pl)_[A-Za-z_]+"?(,|$))'
 MISSING = "NA"
 EXCLUDED = ("pl_name", "swc_deep", "netrad", "seasonal_leaf_area")
 RENAMED = {"TIMESTAMP_solar": "solar_TIMESTAMP"}
@@ -72,8 +73,9 @@ def _lines(spark: SparkSession, root: str, kind: str, part: str) -> DataFrame:
 def scan_fields(spark: SparkSession, root: str, kind: str, part: str) -> DataFrame:
     """Every data line of one kind of table as ``site, file, names, fields``.
 
-    ``names`` and ``fields`` are arrays of equal length; missing values are null. Lines must not be
-    broken inside quotes.
+    ``names`` and ``fields`` are arrays of equal length; missing values are null. Columns without a name are left out,
+    of a repeated name the first column is taken. Lines must not be broken inside quotes. A file without
+    such a header is left out.
     """
     lines = _lines(spark, root, kind, part)
     is_header = F.col("value").rlike(_HEADER)
@@ -89,10 +91,17 @@ def scan_fields(spark: SparkSession, root: str, kind: str, part: str) -> DataFra
         parsed = F.from_csv(F.col(line), F.lit(fields.simpleString()[7:-1].replace(":", " ")), options)
         return F.array(*[parsed[f"c{i}"] for i in range(widest)])
 
-    named = headers.select("file", "site", F.filter(as_array("value"), lambda x: x.isNotNull()).alias("names"))
+    named = headers.select("file", "site", as_array("value").alias("names"))
     body = lines.where(~is_header).select("file", as_array("value").alias("_all"))
     joined = lookup_join(body, named, ["file"], "inner")
-    return joined.select("site", "file", "names", F.slice("_all", 1, F.size("names")).alias("fields"))
+    # a place without a name, or with a name that an earlier place has, goes together with its field
+    pairs = F.filter(
+        F.arrays_zip(F.col("names"), F.col("_all")),
+        lambda p, i: p["names"].isNotNull() & (F.array_position("names", p["names"]) == i + 1),
+    )
+    return joined.withColumn("_pairs", pairs).select(
+        "site", "file", F.col("_pairs.names").alias("names"), F.col("_pairs._all").alias("fields")
+    )
 
 
 def _time(text: Column) -> Column:

@@ -54,27 +54,21 @@ def append_features(
     )
 
 
-def daily_flag_counts(
-    flags: DataFrame, out: str, checkpoint: str, delay: str = "1 day", ts: str = "ts", flag: str = "flag"
-) -> StreamingQuery:
-    """Running flag counts per site and day, kept as one folder of changed rows per micro-batch.
+def daily_flag_counts(flags: DataFrame, out: str, checkpoint: str, ts: str = "ts", flag: str = "flag") -> StreamingQuery:
+    """Flag counts per site and day, kept as one folder of partial counts per micro-batch.
 
-    State holds one row per site and open day; days older than the watermark are dropped from it. A
-    micro-batch that is run again overwrites its own folder.
+    Counts add up, so no state and no watermark is needed and the files of a site may arrive in any order
+    of time. A micro-batch that is run again overwrites its own folder. Rows without a time have a null day.
     """
-    day = F.window(ts, "1 day")
-    counts = (
-        flags.withWatermark(ts, delay)
-        .groupBy("site", day.alias("day"))
-        .agg(F.count(flag).alias("total"), F.count_if(is_bad(F.col(flag), BAD_FLAGS)).alias("warn"))
-        .select("site", F.col("day.start").alias("day"), "total", "warn")
-    )
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        counts = batch.groupBy("site", F.date_trunc("day", F.col(ts)).alias("day")).agg(
+            F.count(flag).alias("total"), F.count_if(is_bad(F.col(flag), BAD_FLAGS)).alias("warn")
+        )
+        counts.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return (
-        counts.writeStream.outputMode("update")
+        flags.writeStream.outputMode("append")
         .foreachBatch(save)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -83,7 +77,6 @@ def daily_flag_counts(
 
 
 def latest_flag_counts(spark: SparkSession, out: str) -> DataFrame:
-    """The newest counts of every site and day from the folders of changed rows."""
+    """The counts of every site and day, added up over the micro-batches."""
     rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
-    newest = rows.groupBy("site", "day").agg(F.max_by(F.struct("total", "warn"), "batch").alias("_c"))
-    return newest.select("site", "day", "_c.*")
+    return rows.groupBy("site", "day").agg(F.sum("total").alias("total"), F.sum("warn").alias("warn"))
