@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 from conftest import values
 from pyspark.sql import functions as F
 from test_sources import archive, put  # noqa: F401
@@ -32,6 +34,19 @@ def test_force_replaces_but_keeps_exclusions(spark, archive, tmp_path, frame):
     assert values(summary, "status", "sites") == [("failed", 1)]
 
 
+def test_all_metadata_tables_reach_the_table(spark, archive, tmp_path):  # noqa: F811
+    root = Path(archive)
+    put(root, "AUS_ONE_stand_md.csv", "st_name,st_age,st_lai\nx,40,NA\n")
+    put(root, "AUS_ONE_species_md.csv", "sp_name,sp_ntrees\nPinus,7\n")
+    put(root, "AUS_ONE_env_md.csv", "env_timestep,env_time_zone\n30,5UTC+01:00\n")
+    put(root, "AUS_ONE_plant_md.csv", "pl_name,pl_code,pl_dbh,pl_height\na,t1,20,3\na,t1,10,3\nb,t9,5,1\n")
+    out = str(tmp_path / "features")
+    jobs.process_archive(spark, archive, out)
+    table = spark.read.parquet(out)
+    got = values(table, "plant_id", "latitude", "stand_age", "leaf_area_index", "n_trees", "measurement_timestep", "pl_dbh")
+    assert got == [("t1", -30.5, 40.0, None, 7.0, 30.0, 20.0)] * 2
+
+
 def test_audit_of_an_archive(spark, archive):  # noqa: F811
     tables = jobs.audit_archive(spark, archive)
     assert values(tables["sites"], "site", "sapf_warn", "sapf_total") == [("AUS_ONE", 1, 1)]

@@ -115,3 +115,10 @@ def test_join_drivers_drops_missing_targets(frame):
     out = reshape.join_drivers(flow(frame), env, ["site", "ts"], "v")
     assert values(out, "ts", "col_name", "ta") == [(1, "tree_1", 9.0), (1, "tree_2", 9.0), (3, "tree_1", 8.0)]
     assert out.where(F.col("v").isNull()).count() == 0
+
+
+def test_running_share_in_pieces(frame, monkeypatch):
+    audit = audit_of(frame, [50, 30, 20, 20, 5, 5, 5, 0])
+    whole = quality.pareto(audit).first()
+    monkeypatch.setattr(quality, "MAX_SERIES_ROWS", 2)
+    assert quality.pareto(audit).first() == whole

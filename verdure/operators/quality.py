@@ -8,11 +8,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdure.functions.codes import BAD_FLAGS
 from verdure.operators.joins import lookup_join, spread_join
+from verdure.operators.ordered import MAX_SERIES_ROWS, cumulative
 from verdure.operators.stats import exact_quantiles, top_k
 from verdure.session import materialize
 
@@ -152,14 +153,11 @@ def concentration(audit: DataFrame) -> DataFrame:
 
 
 def pareto(audit: DataFrame, shares: Sequence[int] = (50, 80, 90), site: str = "site") -> DataFrame:
-    """Running share of flags over sites in falling order, and sites inside each given share.
-
-    The window runs over one row per site, which is what keeps it small enough for one task.
-    """
-    order = Window.orderBy(F.col("total_warn").desc(), F.col(site).asc())
-    running = F.sum("total_warn").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("total_warn").over(Window.partitionBy())
-    placed = audit.select("total_warn", running.alias("_running"), total.alias("_total"))
+    """Running share of flags over sites in falling order, and sites inside each given share."""
+    sites = materialize(audit.select(site, "total_warn", (-F.col("total_warn")).alias("_falling")), "pareto")
+    rows = sites.count()
+    long = rows if rows > MAX_SERIES_ROWS else None
+    placed = cumulative(sites, [], ["_falling", site], "total_warn", "_running", "_total", long)
     return placed.agg(
         F.count(F.lit(1)).alias("sites"),
         *[

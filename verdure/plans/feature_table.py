@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from verdure.functions import calendar, derived
 from verdure.operators import align, features, metadata, quality, reshape
 from verdure.operators.joins import lookup_join
 from verdure.operators.ordered import BLOCK_ROWS, MAX_SERIES_ROWS
+from verdure.session import materialize
 from verdure.sources import stations
 
 
@@ -63,11 +65,40 @@ def build(
     return align.align_schema(df, blocked=[b for b in align.BLOCKED if not interactions])
 
 
+# The columns read from each metadata table that describes a site.
+METADATA = {
+    "site": ("si_lat", "si_long", "si_elev", "si_mat", "si_map", "si_biome", "si_igbp"),
+    "stand": (
+        "st_age", "st_basal_area", "st_density", "st_height", "st_lai", "st_clay_perc", "st_sand_perc", "st_silt_perc",
+        "st_soil_depth", "st_growth_condition",
+    ),
+    "species": ("sp_leaf_habit", "sp_ntrees"),
+    "env": ("env_timestep", "env_time_zone"),
+}
+# Attributes of trees that are numbers or have a code table.
+PLANTS = tuple(c for c in metadata.PLANT_COLUMNS if c != "pl_species")
+
+
+def _numbers(df: DataFrame) -> DataFrame:
+    """Metadata texts with the columns known to hold numbers as doubles."""
+    known = {*metadata.NUMERIC, "n_trees"}
+    return align.to_numbers(df, [c for c in df.columns if metadata.SITE_COLUMNS.get(c, c) in known])
+
+
+def site_metadata(spark, root: str, kinds: Mapping[str, Sequence[str]]) -> DataFrame | None:
+    """One row per site from the metadata tables of the given kinds; of several rows the first by value."""
+    tables = [
+        metadata.first_per_key(_numbers(stations.read_metadata(spark, root, kind, columns)), ["site"], columns)
+        for kind, columns in kinds.items()
+    ]
+    return reduce(lambda a, b: a.join(b, "site", "full"), tables) if tables else None
+
+
 def build_from_archive(
     spark,
     root: str,
     drivers: Sequence[str] = (*features.LAG_DRIVERS, "ext_rad"),
-    site_columns: Sequence[str] = ("si_lat", "si_long", "si_elev", "si_mat", "si_map", "si_biome", "si_igbp"),
+    site_columns: Mapping[str, Sequence[str]] = METADATA,
     use_flags: bool = True,
     sites: DataFrame | None = None,
     **size,
@@ -86,9 +117,12 @@ def build_from_archive(
     for kind in ("env", "sapf"):
         if use_flags and (kind, "flags") in kinds:
             flags[kind] = of_sites(stations.read_long(spark, root, kind, "flags", "col_name", "flag"))
-    site_table = None
-    if ("site", "md") in kinds:
-        site_table = stations.read_metadata(spark, root, "site", site_columns)
-        numeric = [c for c in ("si_lat", "si_long", "si_elev", "si_mat", "si_map") if c in site_columns]
-        site_table = align.to_numbers(metadata.first_per_key(site_table, ["site"], site_columns), numeric)
-    return build(flow, env, site_table, None, flags.get("sapf"), flags.get("env"), **size)
+    listed_md = {kind: columns for kind, columns in site_columns.items() if (kind, "md") in kinds}
+    # small tables that come out of aggregates, used by several joins
+    site_table = site_metadata(spark, root, listed_md)
+    if site_table is not None:
+        site_table = materialize(site_table, "site-metadata")
+    plants = None
+    if ("plant", "md") in kinds:
+        plants = materialize(_numbers(stations.read_metadata(spark, root, "plant", ["pl_code", *PLANTS])), "plants")
+    return build(flow, env, site_table, plants, flags.get("sapf"), flags.get("env"), **size)
