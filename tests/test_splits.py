@@ -125,3 +125,22 @@ def test_window_mode_takes_the_smallest_of_equals(frame):
     row = splits.window_profile(df, "ts", min_train=4, min_test=1).first()
     assert (row.train_season, row.train_month, row.test_season, row.is_seasonal_transition) == (1, 1, 3, True)
     assert splits.window_profile(df, "ts", min_train=5, min_test=1).count() == 0
+
+
+@pytest.mark.parametrize("size", [{}, {"max_rows": 3, "block_rows": 4}])
+def test_rows_of_a_null_group_are_split_like_others(frame, size):
+    df = dated(frame, 10).unionByName(dated(frame, 10, None))
+    held = splits.temporal_holdout(df, ["site"], ["ts", "id"], **size)
+    blocks = splits.temporal_blocks(df, ["site"], ["ts", "id"], **size)
+    tests = splits.fixed_test_blocks(df, ["site"], ["ts", "id"], **size)
+    for out, label in ((held, "split"), (blocks, "block"), (tests, "fold")):
+        rows = sorted((r.id, r.site is None, r[label]) for r in out.collect())
+        assert len(rows) == 20
+        assert [r[2] for r in rows if r[1]] == [r[2] for r in rows if not r[1]]
+
+
+def test_a_null_group_is_sampled(frame):
+    df = dated(frame, 10).unionByName(dated(frame, 10, None))
+    out = splits.capped_sample(df, ["site"], ["id"], per_group=4, overall=None)
+    assert out.columns == df.columns
+    assert sorted(r.site or "" for r in out.collect()) == [""] * 4 + ["s"] * 4

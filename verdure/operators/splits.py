@@ -18,6 +18,11 @@ SEED_TEXT = ""
 _PREFIX = 5
 
 
+def _keyed(df: DataFrame, group: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with its group in one struct column, and the key to join by: null columns in a struct match each other."""
+    return (df.withColumn("_group", F.struct(*group)), ["_group"]) if group else (df, [])
+
+
 def hash_of(*key: str, seed: str = SEED_TEXT) -> Column:
     """Reproducible 32-digit hash of a row key; a seed text gives a different draw."""
     parts = [F.col(k).cast("string") for k in key]
@@ -77,11 +82,11 @@ def capped_sample(
     overall: int | None = 500_000,
     seed: str = SEED_TEXT,
 ) -> DataFrame:
-    """At most ``per_group`` rows of each group and ``overall`` rows in all, drawn by key hash."""
-    hashed = df.withColumn("_hash", hash_of(*key, seed=seed))
-    cuts = _hash_cut(hashed.select(*group, "_hash"), list(group), F.least(F.lit(per_group), F.col("_size")))
-    kept = lookup_join(hashed, cuts, list(group), "inner", derived=True)
-    kept = kept.where(F.col("_hash") <= F.col("_cut")).drop("_cut")
+    """At most ``per_group`` rows of each group and ``overall`` rows in all, drawn by key hash. Null is a group too."""
+    hashed, on = _keyed(df.withColumn("_hash", hash_of(*key, seed=seed)), group)
+    cuts = _hash_cut(hashed.select(*on, "_hash"), on, F.least(F.lit(per_group), F.col("_size")))
+    kept = lookup_join(hashed, cuts, on, "inner", derived=True)
+    kept = kept.where(F.col("_hash") <= F.col("_cut")).select(*df.columns, "_hash")
     if overall is not None:
         kept = materialize(kept, "sample")  # already at most per_group rows of each group
         limit = F.least(F.lit(overall), F.col("_size"))
@@ -95,11 +100,12 @@ def temporal_holdout(
 ) -> DataFrame:
     """Row label ``split``: the first ``max(1, int(n * ratio))`` rows of each group train.
 
-    Only the cut row of each group is searched; the rows themselves are labelled by comparison.
+    Only the cut row of each group is searched; the rows themselves are labelled by comparison. Null is a group too.
     """
+    keyed, on = _keyed(df, group)
     at = {"_cut": lambda n: F.greatest(F.lit(1), F.floor(n * F.lit(ratio)).cast("bigint"))}
-    cuts = values_at(df, list(group), list(order), at, **size).drop("series_rows")
-    joined = lookup_join(df, cuts, list(group), "inner", derived=True)
+    cuts = values_at(keyed, on, list(order), at, **size).drop("series_rows")
+    joined = lookup_join(keyed, cuts, on, "inner", derived=True)
     label = F.when(F.struct(*order) <= F.col("_cut"), "train").otherwise("test")
     return joined.select(*df.columns, label.alias("split"))
 
@@ -110,11 +116,12 @@ def temporal_blocks(
     """Row label ``block``: consecutive blocks of ``n // folds`` rows per group, numbered from 0.
 
     Fold f trains on blocks below f and tests on block f, so block 0 is never tested. Rows after the
-    last full block get null, groups shorter than ``folds`` rows are left out.
+    last full block get null, groups shorter than ``folds`` rows are left out. Null is a group too.
     """
+    keyed, on = _keyed(df, group)
     ends = {f"_end{f}": (lambda n, f=f: F.floor(n / folds) * (f + 1)) for f in range(folds)}
-    cuts = values_at(df, list(group), list(order), ends, **size).where(F.col("series_rows") >= folds)
-    joined = lookup_join(df, cuts.drop("series_rows"), list(group), "inner", derived=True)
+    cuts = values_at(keyed, on, list(order), ends, **size).where(F.col("series_rows") >= folds)
+    joined = lookup_join(keyed, cuts.drop("series_rows"), on, "inner", derived=True)
     here = F.struct(*order)
     block = F.lit(None).cast("int")
     for f in reversed(range(folds)):
@@ -139,15 +146,16 @@ def fixed_test_blocks(
     """Row label ``fold``: the last rows of each group in ``folds`` test sets of ``int(n * share)`` rows.
 
     Fold f (from 1) tests on its own rows and trains on all rows with a lower label; rows before the
-    first test set have label 0. Groups too short for a test row are left out.
+    first test set have label 0. Groups too short for a test row are left out. Null is a group too.
     """
+    keyed, on = _keyed(df, group)
 
     def end(f: int):
         return lambda n: n - (folds - f) * F.floor(n * F.lit(share)).cast("bigint")
 
-    cuts = values_at(df, list(group), list(order), {f"_end{f}": end(f) for f in range(folds)}, **size)
+    cuts = values_at(keyed, on, list(order), {f"_end{f}": end(f) for f in range(folds)}, **size)
     cuts = cuts.where(F.floor(F.col("series_rows") * F.lit(share)) > 0).drop("series_rows")
-    joined = lookup_join(df, cuts, list(group), "inner", derived=True)
+    joined = lookup_join(keyed, cuts, on, "inner", derived=True)
     # an end before the first row has no order tuple and never holds
     fold = F.lit(folds)
     for f in reversed(range(folds)):
