@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from verdure.catalog.registry import query
+from verdure.llm.bpe_codec import decode_ids, encode_texts
 from verdure.llm.decontamination import contaminated_documents
 from verdure.llm.line_dedup import line_decisions
 from verdure.llm.mixing import mix_sources
@@ -20,6 +21,7 @@ from verdure.llm.url_filter import url_verdicts
 from verdure.llm.warc import captures, write_warc
 
 BPE_50K = public_tokenizers.path("byte_bpe_50k.json")
+RANKS_50K = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 URL_RULES = [
     ("com", "/en/", "block"),
     ("example.com", "/en/7", "allow"),
@@ -197,6 +199,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op11_bpe_codec")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tested against the tiktoken library."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    decoded = decode_ids(encode_texts(docs, RANKS_50K, public_tokenizers.PATTERN), RANKS_50K)
+    listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
