@@ -19,6 +19,7 @@ from verdure.llm.token_counts import token_counts
 from verdure.llm.token_files import read_token_files, write_token_files
 from verdure.llm.url_filter import url_verdicts
 from verdure.llm.warc import captures, write_warc
+from verdure.llm.whitening import fit_whitening, quantised, whiten
 
 BPE_50K = public_tokenizers.path("byte_bpe_50k.json")
 RANKS_50K = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -213,6 +214,28 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tested against a dense eigensolver over the collected vectors of a small table."""
+    vectors = quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", step=256)
+    model = fit_whitening(vectors, components=4)
+    if model is None:
+        return vectors.selectExpr(
+            "key as vec_id", "0 as component", "0L as n", "0L as deviation", "0d as whitened", "0d as explained", "0d as identity_error"
+        ).where("false")
+    explained = F.array(*[F.lit(e).cast("double") for e in model.explained])
+    each = whiten(vectors, model).select("key", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select(
+        F.col("key").alias("vec_id"),
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(explained, "at").alias("explained"),
+        F.lit(model.identity_error).cast("double").alias("identity_error"),
+    )
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
