@@ -10,6 +10,7 @@ import corpus_pipeline
 from verdure.catalog.registry import query
 from verdure.llm.bpe_codec import decode_ids, encode_texts
 from verdure.llm.decontamination import contaminated_documents
+from verdure.llm.lexical_search import lexical_search
 from verdure.llm.line_dedup import line_decisions
 from verdure.llm.mixing import mix_sources
 from verdure.llm.ngram_join import jaccard_join
@@ -236,6 +237,31 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_TERMS = r"regexp_extract_all({folded}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_OP13 = rf"""
+with d as (select row_number() over () as r, doc_id, unnest({_TERMS.format(folded=_FOLDED)}) as term from documents),
+i as (
+  select item_id, term, count(*) as c
+  from (select item_id, unnest({_TERMS.format(folded=_FOLDED)}) as term from (select distinct item_id, text from benchmark))
+  group by all),
+n as (select r, doc_id, count(*)::bigint as n from d group by all),
+t as (select count(*)::bigint as nn, sum(n)::bigint as l from n),
+f as (select r, term, count(*)::bigint as tf from d where term in (select term from i) group by all),
+w as (select term, floor(1000 * ln((2 * nn + 2)::double / (2 * count(*) + 1)::double))::bigint as w from f, t group by term, nn),
+s as (
+  select i.item_id, n.doc_id, f.r, sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + ((75 * n * nn) // l)))))::bigint as score
+  from i join f using (term) join w using (term) join n using (r), t group by all),
+k as (select *, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank from s where score > 0)
+select item_id, rank::int as rank, doc_id, score from k where rank <= 10
+"""
+
+
+@query("op13_lexical_search", _OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return lexical_search(docs, benchmark, k=10)
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
