@@ -59,6 +59,50 @@ def test_saved_results(hourly, tmp_path, spark):
     assert saved.count() == out["predictions"].count()
 
 
+@pytest.mark.parametrize(
+    ("curve", "patience", "kept"),
+    [([5.0, 4.0, 3.0], 2, 3), ([5.0, 4.0, 4.5, 4.6, 1.0], 2, 2), ([5.0, 4.0, 4.5, 4.6, 1.0], 3, 5), ([2.0, 2.0, 2.0], 1, 1), ([1.0], 5, 1)],
+)
+def test_patience_keeps_the_rounds_up_to_the_best(curve, patience, kept):
+    assert models.patient_rounds(curve, patience) == kept
+
+
+def test_all_rounds_are_trained_and_the_model_is_cut(spark):
+    noisy = spark.range(3000).select(
+        "id", (F.col("id") % 17).cast("double").alias("x"), F.rand(1).alias("z"), ((F.col("id") % 17) * 2 + F.rand(2) * 10).alias("y")
+    ).persist()
+    settings = models.BoostSettings(rounds=12, patience=2, bins=16)
+    ready = models.prepare(noisy, ["x", "z"], "y", ["id"], settings)
+    cut = models.fit(ready, "y", settings)
+    assert len(cut.curve) == 12 and cut.trees == models.patient_rounds(cut.curve, 2)
+    # a model trained for just as many rounds says the same
+    same = models.fit(ready, "y", models.BoostSettings(rounds=cut.trees, patience=99, bins=16))
+    a, b = (models.predict(m.model, ready).orderBy("id").select("predicted").collect() for m in (cut, same))
+    assert a == b
+    two = models.first_trees(cut.model, 1)
+    assert two.getNumTrees == 1
+    gains = models.importances(two, ["x", "z", "never"], spark, 1).collect()
+    assert [g.feature for g in gains] == ["x", "z", "never"] and sum(g.importance for g in gains) == pytest.approx(1)
+
+
+def test_without_held_out_rows_all_trees_stay(hourly):
+    settings = models.BoostSettings(rounds=2, bins=16, validation_percent=0)
+    fitted = models.fit(models.prepare(hourly, ["x"], "y", ["id"], settings), "y", settings)
+    assert fitted.trees == 2 and fitted.curve == ()
+
+
+def test_more_sites_than_models_are_held_out_in_groups(hourly):
+    made = validation.label(hourly, "spatial", ["id"], max_models=3)
+    assert values(made.about, "test_site", "fold") == [("s0", 1), ("s1", 2), ("s2", 3), ("s3", 1)]
+    tested = [made.rows.where(test).select("site").distinct().count() for _, _, test in made.folds]
+    assert tested == [2, 1, 1] and made.rows.count() == hourly.count()
+
+
+def test_curves_of_every_fold(hourly):
+    out = validation.validate(hourly, "kfold", ["x"], "y", ["id"], settings=SETTINGS)
+    assert values(out["curves"].groupBy("fold").count(), "fold", "count") == [(f, 3) for f in range(1, 5)]
+
+
 def test_unknown_scheme(hourly):
     with pytest.raises(ValueError, match="unknown scheme"):
         validation.label(hourly, "other", ["id"])

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdure.catalog.registry import query, rounded
 from verdure.operators import evaluate as ops
-from verdure.operators import splits
+from verdure.operators import features, splits
 from verdure.operators.joins import lookup_join
 from verdure.operators.metadata import add_columns
 from verdure.plans import bindings as b
 from verdure.plans import models
-from verdure.session import scratch_path
+from verdure.session import materialize, scratch_path
 from verdure.sources import stations
 
 _R2 = "1 - sum((predicted - actual) ** 2) / nullif(var_pop(actual) * count(*), 0)"
@@ -322,23 +326,120 @@ def prediction_intervals(spark, sf_dir):
     return rounded(rounded(ops.interval_coverage(made, ["site"]), "coverage"), "mean_width", digits=5)
 
 
-def _boosted(spark, sf_dir):
-    lines = b.table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax"
+# The mean of a reading and the two before it: the readings before tell two thirds of it, the calendar nothing.
+_TARGET = "ta_mean_3h"
+_FEATURES = ("ta_lag_1h", "ta_lag_2h", "ta_lag_3h", "hour", "weekday", "minute")
+
+
+def _learning_rows(spark, sf_dir):
+    rows = features.lag_features(b.series(spark, sf_dir), b.SERIES, b.ORDER, drivers=("ta",), lags=(1, 2, 3))
+    rows = features.rolling_features(rows, b.SERIES, b.ORDER, drivers=("ta",), widths=(3,), stats=("mean",))
+    return add_columns(rows, {"hour": F.hour("ts"), "weekday": F.weekday("ts"), "minute": F.minute("ts")})
+
+
+_LEARNING = """SELECT *, row_number() OVER (PARTITION BY site ORDER BY ts, event_id) AS rn, count(*) OVER (PARTITION BY site) AS n,
+    avg(ta) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS y, coalesce(lag(ta, 1) OVER w, 0) AS ta_lag_1h,
+    coalesce(lag(ta, 2) OVER w, 0) AS ta_lag_2h, coalesce(lag(ta, 3) OVER w, 0) AS ta_lag_3h, hour(ts) AS hour,
+    isodow(ts) - 1 AS weekday, minute(ts) AS minute FROM series WINDOW w AS (PARTITION BY site, plant_id ORDER BY ts, event_id)"""
+
+
+def _mean_forecast(predictions):
+    """Beside the scores of each fold the error of the training mean as the only forecast."""
+    actual = lambda part: F.when(F.col("part") == part, F.col("actual"))
+    by_fold = predictions.groupBy("fold").agg(
+        F.avg(actual("train")).alias("m"), F.avg(actual("test")).alias("a"), F.var_pop(actual("test")).alias("v")
+    )
+    off = F.col("a") - F.col("m")
+    return by_fold.select("fold", F.sqrt(F.col("v") + off * off).alias("mean_rmse"))
+
+
+def _cut_by_patience(curves, patience):
+    """Whether the last round kept has the lowest error so far and none of the next ``patience`` rounds has a lower one."""
+    cuts = curves.groupBy("fold").agg(F.count_if("kept").alias("cut"), F.count(F.lit(1)).alias("rounds"))
+    best = curves.join(cuts, "fold").groupBy("fold", "cut", "rounds").agg(
+        F.min(F.when(F.col("round") <= F.col("cut"), F.col("rmse"))).alias("before"),
+        F.max(F.when(F.col("round") == F.col("cut"), F.col("rmse"))).alias("at"),
+        F.min(F.when((F.col("round") > F.col("cut")) & (F.col("round") <= F.col("cut") + patience), F.col("rmse"))).alias("after"),
+    )
+    right = (F.col("at") == F.col("before")) & (F.col("after").isNull() | (F.col("after") >= F.col("at")))
+    return best.select("fold", "rounds", right.alias("cut_by_patience"))
+
+
+def _judged(done, patience):
+    scores = models.score(done.predictions)
+    joined = scores.join(_mean_forecast(done.predictions), "fold").join(_cut_by_patience(done.curves, patience), "fold")
+    return joined.select(
+        "fold",
+        F.col("train_samples").alias("train_rows"),
+        F.col("test_samples").alias("test_rows"),
+        F.round("mean_rmse", 5).alias("mean_rmse"),
+        ((F.col("test_rmse") < F.col("mean_rmse")) & (F.col("train_r2") > 0)).alias("beats_mean"),
+        F.col("rounds").cast("int").alias("rounds"),
+        "cut_by_patience",
     )
-    rows = add_columns(lines, {"month": F.month("l_shipdate"), "block": F.pmod(F.year("l_shipdate"), F.lit(3))})
-    features = ["l_quantity", "l_discount", "l_tax", "month"]
-    settings = models.BoostSettings(rounds=3, bins=32, depth=3)
-    folds = [(f, F.col("block") < f, F.col("block") == f) for f in (1, 2)]
-    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    return models.cross_validate(rows, features, "l_extendedprice", key, folds, settings)
 
 
-@query("gbt_cv")
+@query(
+    "gbt_cv",
+    b.with_cte(
+        """SELECT fold, count(*) FILTER (WHERE block < fold) AS train_rows, count(*) FILTER (WHERE block = fold) AS test_rows,
+        round(sqrt(var_pop(y) FILTER (WHERE block = fold) + (avg(y) FILTER (WHERE block = fold) - avg(y) FILTER (WHERE block < fold)) ** 2), 5)
+        AS mean_rmse, true AS beats_mean, 150 AS rounds, true AS cut_by_patience
+        FROM (SELECT y, (rn - 1) // (n // 5) AS block FROM learning WHERE n >= 5) b, (SELECT unnest([1, 2, 3, 4]) AS fold) f GROUP BY fold""",
+        "series",
+        extra={"learning": _LEARNING},
+    ),
+)
 def gbt_cv(spark, sf_dir):
-    return models.score(_boosted(spark, sf_dir)[0])
+    rows = splits.temporal_blocks(_learning_rows(spark, sf_dir), ["site"], b.ORDER, 5)
+    folds = [(f, F.col("block") < f, F.col("block") == f) for f in range(1, 5)]
+    done = models.cross_validate(rows, _FEATURES, _TARGET, ["event_id"], folds, models.TEMPORAL)
+    return _judged(done, models.TEMPORAL.patience)
+
 
+def _held_out():
+    return [(1, F.col("split") == "train", F.col("split") == "test")]
 
-@query("gbt_importance")
+
+@query(
+    "gbt_importance",
+    b.with_cte(
+        """SELECT feature, abs(r) > 0.2 AS is_signal FROM
+        (SELECT corr(ta_lag_1h, y) AS ta_lag_1h, corr(ta_lag_2h, y) AS ta_lag_2h, corr(ta_lag_3h, y) AS ta_lag_3h, corr(hour, y) AS hour,
+        corr(weekday, y) AS weekday, corr(minute, y) AS minute FROM learning WHERE rn <= floor(n * 0.8)) c
+        UNPIVOT (r FOR feature IN (ta_lag_1h, ta_lag_2h, ta_lag_3h, hour, weekday, minute))""",
+        "series",
+        extra={"learning": _LEARNING},
+    ),
+)
 def gbt_importance(spark, sf_dir):
-    return ops.importance_rollup(_boosted(spark, sf_dir)[1], 2, 15)
+    rows = splits.temporal_holdout(_learning_rows(spark, sf_dir), ["site"], b.ORDER)
+    done = models.cross_validate(rows, _FEATURES, _TARGET, ["event_id"], _held_out(), models.TEMPORAL)
+    gains = ops.importance_rollup(done.importances, 1, 15)
+    return gains.select("feature", (F.col("importance") > 0.2).alias("is_signal"))
+
+
+_VARIANTS = {"rolling": models.ROLLING, "large": models.LARGE, "small": models.SMALL}
+
+
+@query(
+    "gbt_variants",
+    b.with_cte(
+        """SELECT variant, rounds, train_rows, test_rows, mean_rmse, true AS beats_mean, true AS cut_by_patience FROM
+        (SELECT count(*) FILTER (WHERE rn <= cut) AS train_rows, count(*) FILTER (WHERE rn > cut) AS test_rows,
+         round(sqrt(var_pop(y) FILTER (WHERE rn > cut) + (avg(y) FILTER (WHERE rn > cut) - avg(y) FILTER (WHERE rn <= cut)) ** 2), 5)
+         AS mean_rmse FROM (SELECT *, floor(n * 0.8) AS cut FROM learning) l) s,
+        (VALUES ('rolling', 100), ('large', 200), ('small', 100)) v(variant, rounds)""",
+        "series",
+        extra={"learning": _LEARNING},
+    ),
+)
+def gbt_variants(spark, sf_dir):
+    rows = materialize(splits.temporal_holdout(_learning_rows(spark, sf_dir), ["site"], b.ORDER), "learning")
+
+    def run(name):
+        done = models.cross_validate(rows, _FEATURES, _TARGET, ["event_id"], _held_out(), _VARIANTS[name])
+        return _judged(done, _VARIANTS[name].patience).select(F.lit(name).alias("variant"), "*").drop("fold")
+
+    with ThreadPoolExecutor(len(_VARIANTS)) as pool:
+        return reduce(DataFrame.unionByName, pool.map(run, _VARIANTS))

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from verdure.functions import calendar
 from verdure.operators.joins import lookup_join
-from verdure.operators.ordered import values_at
-from verdure.operators.stats import top_k
+from verdure.operators.ordered import ranked, values_at
 from verdure.session import materialize
 
 SEED_TEXT = ""
@@ -189,6 +188,12 @@ def leave_one_site_out(
     return rows, folds
 
 
+def site_groups(sites: DataFrame, site: str, groups: int) -> DataFrame:
+    """Adds ``fold`` from 1: sites by name are dealt out to ``groups`` folds, each alone if there are no more than that."""
+    placed = ranked(sites, [], [site], "_rn")
+    return placed.withColumn("fold", (F.pmod(F.col("_rn") - 1, F.lit(groups)) + 1).cast("int")).drop("_rn")
+
+
 def rolling_origin(
     df: DataFrame, ts: str, train_days: int = 30, test_days: int = 7, windows: int = 12
 ) -> DataFrame:
@@ -266,7 +271,3 @@ def season_coverage(profile: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("windows"),
         F.count_if("is_seasonal_transition").alias("transitions"),
     )
-
-
-def largest_groups(df: DataFrame, group: str, k: int) -> DataFrame:
-    return top_k(df.groupBy(group).agg(F.count(F.lit(1)).alias("n")), "n", k, group)

@@ -1,7 +1,7 @@
 """Training and scoring under the five validation schemes.
 
 Every scheme labels the rows once and describes its folds as conditions on the label, so that no
-fold copies the table. Only fold numbers and site names, twenty at most, come to the driver.
+fold copies the table. Only fold numbers come to the driver.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdure.operators import evaluate, splits
+from verdure.operators.joins import lookup_join
 from verdure.plans import models
 
 SCHEMES = ("random", "temporal", "kfold", "spatial", "rolling")
@@ -42,12 +43,17 @@ def label(
     folds: int = 5,
     max_sites: int | None = None,
     min_rows: int = 100,
+    max_models: int = 20,
     windows: int = 12,
     train_days: int = 30,
     test_days: int = 7,
     **size,
 ) -> Labelled:
-    """Labels the rows for one scheme. ``key`` identifies a row, ``order`` orders the rows of a site."""
+    """Labels the rows for one scheme. ``key`` identifies a row, ``order`` orders the rows of a site.
+
+    The spatial scheme holds out one site at a time; with more than ``max_models`` sites it holds out as many groups of
+    sites instead, dealt out by name. Every site is tested once either way.
+    """
     order = list(order or [ts, *[k for k in key if k not in (ts, site)]])
     if scheme == "random":
         return Labelled(splits.random_split_exact(df, key), _two_sided())
@@ -59,8 +65,11 @@ def label(
         return Labelled(rows, [(f, here < f, here == f) for f in range(1, folds)])
     if scheme == "spatial":
         rows, sites = splits.leave_one_site_out(df, site, min_rows, max_sites)
-        names = [r["test_site"] for r in sites.orderBy("test_site").collect()]
-        return Labelled(rows, [(i + 1, F.col(site) != s, F.col(site) == s) for i, s in enumerate(names)], sites)
+        grouped = splits.site_groups(sites, "test_site", max_models)
+        numbers = range(1, 1 + min(max_models, sites.count()))
+        names = grouped.select(F.col("test_site").alias(site), "fold")
+        rows = lookup_join(rows, names, [site], "inner", derived=True).withColumnRenamed("fold", "_fold")
+        return Labelled(rows, [(f, F.col("_fold") != f, F.col("_fold") == f) for f in numbers], grouped)
     if scheme == "rolling":
         rows = splits.rolling_origin(df, ts, train_days, test_days, windows)
         about = splits.window_profile(rows, ts)
@@ -87,7 +96,8 @@ def validate(
     if not made.folds:
         raise ValueError(f"no fold has enough rows for the {scheme} scheme")
     settings = settings or (models.ROLLING if scheme == "rolling" else models.TEMPORAL)
-    predictions, gains = models.cross_validate(made.rows, features, target, key, made.folds, settings, keep=[site, ts])
+    done = models.cross_validate(made.rows, features, target, key, made.folds, settings, keep=[site, ts])
+    predictions, gains = done.predictions, done.importances
     scores = evaluate.fold_metrics(predictions)
     out = {
         "predictions": predictions,
@@ -95,6 +105,7 @@ def validate(
         "rollup": evaluate.fold_rollup(scores),
         "best_fold": evaluate.best_fold(scores),
         "importance": evaluate.importance_rollup(gains, len(made.folds), 15),
+        "curves": done.curves,
     }
     if scheme == "spatial":
         by_site = evaluate.metrics(predictions.where("part = 'test'"), [site])
