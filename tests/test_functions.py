@@ -128,16 +128,42 @@ def test_site_metadata_is_renamed_and_optional(frame):
 
 
 def test_auto_encode_kinds(frame):
-    rows = [(f"c{i % 3}", str(i % 30), f"t{i % 30}", str(i) if i % 2 else f"x{i}", "7.5" if i else "bad") for i in range(200)]
-    df = frame(rows, "few string, numbers string, names string, many string, pl_age string")
+    rows = [(f"c{i % 3}", str(i % 30), str(i % 20), str(i) if i % 2 else f"x{i}", "7.5" if i else "bad") for i in range(200)]
+    df = frame(rows, "few string, numbers string, classes string, many string, pl_age string")
     out = metadata.auto_encode(df)
-    assert out.columns == ["numbers", "many", "pl_age", "few_code", "names_code"]
-    kinds = dict(out.dtypes)
-    assert set(kinds.values()) == {"double"}
+    assert out.columns == ["numbers", "pl_age", "few_code", "classes_code", "many_code"]
+    assert set(dict(out.dtypes).values()) == {"double"}
     assert {r[0] for r in out.select("few_code").distinct().collect()} == {0.0, 1.0, 2.0}
-    assert out.select(F.count("many")).first()[0] == 100
+    assert out.select(F.count_distinct("classes_code")).first()[0] == 20
     assert out.select(F.count("pl_age")).first()[0] == 199
-    assert "many" not in metadata.auto_encode(df, high="drop").columns
+    treated = metadata.auto_encode(df, treat={"many": "drop", "few": "keep", "classes": "number", "pl_age": "code"})
+    assert treated.columns == ["few", "numbers", "classes", "pl_age_code"]
+    with pytest.raises(ValueError, match="unknown treatment"):
+        metadata.auto_encode(df, treat={"many": "hash"})
+
+
+@pytest.mark.parametrize("n", [100, 101, 1000])
+@pytest.mark.parametrize("size", [{}, {"max_rows": 50, "block_rows": 30}])
+def test_every_value_of_any_number_of_values_is_coded(frame, n, size):
+    rows = [(i, f"v{i % n:04d}" if i % n else None) for i in range(2 * n)]
+    out = values(metadata.auto_encode(frame(rows, "id int, t string"), **size), "id", "t_code")
+    assert out == [(i, float(i % n - 1 if i % n else n - 1)) for i in range(2 * n)]
+
+
+def test_known_codes_stay_and_new_values_follow(frame):
+    first = metadata.value_codes(frame([("b",), ("a",), (None,)], "t string"), ["t"])
+    assert values(first, "value", "code", order=["code"]) == [("a", 0.0), ("b", 1.0), (None, 2.0)]
+    again = metadata.value_codes(frame([("aa",), ("b",), (None,), ("0",)], "t string"), ["t"], known=first)
+    assert values(again, "value", "code", order=["code"]) == [("a", 0.0), ("b", 1.0), (None, 2.0), ("0", 3.0), ("aa", 4.0)]
+    out = metadata.encode_values(frame([(1, "aa"), (2, None), (3, "zz")], "id int, t string"), again, ["t"])
+    assert values(out, "id", "t_code") == [(1, 4.0), (2, 2.0), (3, None)]
+    assert values(metadata.value_codes(frame([("b",)], "t string"), ["t"], null=True), "value", order=["code"]) == [("b",), (None,)]
+
+
+def test_columns_without_values(frame):
+    out = metadata.auto_encode(frame([(1, None), (2, None)], "id int, t string"))
+    assert values(out, "id", "t_code") == [(1, 0.0), (2, 0.0)]
+    assert metadata.auto_encode(frame([], "id int, t string")).columns == ["id", "t_code"]
 
 
 def test_codes_agree_between_parts_of_a_table(frame):

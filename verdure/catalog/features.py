@@ -398,17 +398,20 @@ def encode_dictionary(spark, sf_dir):
     "auto_encode",
     b.with_cte(
         """SELECT o_orderkey, s.code AS o_orderstatus_code, p.code AS o_orderpriority_code, c.code AS clerk_code,
-        CAST(o_custkey % 90 AS DOUBLE) AS shelf, try_cast(ref AS DOUBLE) AS ref
+        CAST(o_custkey % 90 AS DOUBLE) AS shelf, q.code AS client_code, r.code AS ref_code, try_cast(ref AS DOUBLE) AS amount
         FROM texts t JOIN status s ON s.v = t.o_orderstatus JOIN priority p ON p.v = t.o_orderpriority
-        JOIN clerks c ON c.v IS NOT DISTINCT FROM t.clerk""",
+        JOIN clerks c ON c.v IS NOT DISTINCT FROM t.clerk JOIN clients q ON q.v IS NOT DISTINCT FROM t.client JOIN refs r ON r.v = t.ref""",
         extra={
             "texts": """SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority,
                 CASE WHEN o_custkey % 61 > 0 THEN 'clerk ' || (o_custkey % 61) END AS clerk,
+                CASE WHEN o_custkey % 101 > 0 THEN 'client ' || (o_custkey % 101) END AS client,
                 CASE WHEN o_orderkey % 3 = 0 THEN 'x' || o_orderkey ELSE '' || o_orderkey END AS ref FROM orders""",
             **{
                 name: f"""SELECT v, CAST(dense_rank() OVER (ORDER BY v NULLS LAST) - 1 AS DOUBLE) AS code
                     FROM (SELECT DISTINCT {column} AS v FROM texts) d"""
-                for name, column in (("status", "o_orderstatus"), ("priority", "o_orderpriority"), ("clerks", "clerk"))
+                for name, column in (
+                    ("status", "o_orderstatus"), ("priority", "o_orderpriority"), ("clerks", "clerk"), ("clients", "client"), ("refs", "ref")
+                )
             },
         },
     ),
@@ -419,9 +422,10 @@ def auto_encode_orders(spark, sf_dir):
         "o_orderkey", "o_orderstatus", "o_orderpriority",
         F.when(cust % 61 > 0, F.concat(F.lit("clerk "), (cust % 61).cast("string"))).alias("clerk"),
         (cust % 90).cast("string").alias("shelf"),
+        F.when(cust % 101 > 0, F.concat(F.lit("client "), (cust % 101).cast("string"))).alias("client"),
         F.when(key % 3 == 0, F.concat(F.lit("x"), key.cast("string"))).otherwise(key.cast("string")).alias("ref"),
     )
-    return auto_encode(rows)
+    return auto_encode(rows.withColumn("amount", F.col("ref")), treat={"amount": "number"})
 
 
 @query(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +12,8 @@ from verdure.functions import derived
 from verdure.functions.codes import BY_COLUMN
 from verdure.functions.cuts import encode
 from verdure.operators.joins import lookup_join
+from verdure.operators.ordered import ranked
+from verdure.session import materialize
 
 # Metadata column -> feature column.
 SITE_COLUMNS = {
@@ -118,56 +119,101 @@ NUMERIC = (
     "soil_depth", "pl_age", "pl_dbh", "pl_height", "pl_leaf_area", "pl_bark_thick", "pl_sapw_area",
     "pl_sapw_depth", "measurement_timestep", "swc_shallow_depth", "timezone_offset", "measurement_frequency",
 )
-FEW, SOME = 20, 100
+# Number-like text columns with at most so many values are taken for classes, as the feature table always did.
+FEW = 20
+TREATMENTS = ("code", "number", "drop", "keep")
 
 
-_LOOKS_NUMERIC = re.compile(r"[0-9.\-]*[0-9][0-9.\-]*")
+def _text_columns(df: DataFrame, preserved: Sequence[str]) -> list[str]:
+    return [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in preserved]
 
 
-def _short_columns(df: DataFrame, columns: Sequence[str]) -> dict[str, set[str | None]]:
-    """The distinct values, null included, of the text columns that have at most ``SOME``.
+def _number_like(df: DataFrame, columns: Sequence[str]) -> set[str]:
+    """The columns whose every text is a number, unless they have at most ``FEW`` different ones.
 
-    A sketch rules out the columns far above the limit, whose values need not be shuffled. Of the
-    rest each has at most a few hundred values, which are collected together.
+    One pass with counters and sketches; only the few values of number-like columns near the limit are counted exactly.
     """
     if not columns:
-        return {}
-    sketch = df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in columns]).first()
-    near = [c for c in columns if sketch[c] <= 2 * SOME]
-    if not near:
-        return {}
-    values: dict[str, set[str | None]] = {c: set() for c in near}
-    for row in df.select(*near).unpivot([], near, "column", "value").distinct().collect():
-        values[row["column"]].add(row["value"])
-    return {c: v for c, v in values.items() if len(v) <= SOME}
+        return set()
+    picks = []
+    for i, c in enumerate(columns):
+        picks.append(F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()).alias(f"texts{i}"))
+        picks.append(F.approx_count_distinct(c, 0.05).alias(f"values{i}"))
+    row = df.agg(*picks).first()
+    numbers = {c: row[f"values{i}"] for i, c in enumerate(columns) if row[f"texts{i}"] == 0 and row[f"values{i}"] > 0}
+    near = [c for c, n in numbers.items() if n <= 2 * FEW]
+    few = set()
+    if near:
+        exact = df.agg(*[F.count_distinct(c).alias(c) for c in near]).first()
+        few = {c for c in near if exact[c] <= FEW}
+    return set(numbers) - few
+
+
+def value_codes(
+    df: DataFrame, columns: Sequence[str], known: DataFrame | None = None, null: bool | None = None, **size
+) -> DataFrame:
+    """A code for every value of the text columns, however many: ``column, value, code``.
+
+    Codes number the values of the whole table in sorted order from 0, null last, so that all parts of the table agree
+    on them. ``known`` is an earlier table of codes: its codes stay, and values it lacks are numbered after them. A
+    null has a code if the column has nulls, or as ``null`` says. A column with very many values is numbered in
+    pieces. The result is written.
+    """
+    values = df.select(*columns).unpivot([], list(columns), "column", "value").distinct()
+    if null is not None:
+        values = values.where(F.col("value").isNotNull())
+    if null:
+        names = df.sparkSession.createDataFrame([(c, None) for c in columns], "column string, value string")
+        values = values.unionByName(names)
+    if known is not None:
+        same = (values["column"] == known["column"]) & values["value"].eqNullSafe(known["value"])
+        values = values.join(known, same, "left_anti")
+    placed = ranked(values.withColumn("_null", F.col("value").isNull()), ["column"], ["_null", "value"], "_rn", **size)
+    code = F.col("_rn") - 1
+    if known is not None:
+        # one row per column
+        taken = known.groupBy("column").agg((F.max("code") + 1).alias("_taken"))
+        placed = placed.join(F.broadcast(taken), "column", "left")
+        code = code + F.coalesce("_taken", F.lit(0))
+    made = placed.select("column", "value", code.cast("double").alias("code"))
+    return materialize(made if known is None else known.select("column", "value", "code").unionByName(made), "codes")
+
+
+def encode_values(df: DataFrame, codes: DataFrame, columns: Sequence[str], drop: bool = True) -> DataFrame:
+    """``<column>_code`` from a table of codes; a value it lacks gives null. The text columns are dropped."""
+    for c in columns:
+        # in a struct null matches null
+        own = codes.where(F.col("column") == c).select(F.struct(F.col("value").alias("v")).alias("_v"), F.col("code").alias(f"{c}_code"))
+        coded = lookup_join(df.withColumn("_v", F.struct(F.col(c).alias("v"))), own, ["_v"], "left")
+        df = coded.select(*df.columns, f"{c}_code")
+    return df.drop(*columns) if drop else df
 
 
 def auto_encode(
-    df: DataFrame, preserved: Sequence[str] = PRESERVED, numeric: Sequence[str] = NUMERIC, high: str = "null"
+    df: DataFrame,
+    preserved: Sequence[str] = PRESERVED,
+    numeric: Sequence[str] = NUMERIC,
+    treat: Mapping[str, str] | None = None,
+    known: DataFrame | None = None,
+    **size,
 ) -> DataFrame:
-    """Turns the remaining text columns into numbers.
+    """Turns the remaining text columns into numbers, however many values they have.
 
-    Up to 20 distinct values: a code per value. Up to 100: numbers if all values look like numbers,
-    else codes. Above: numbers, other text null (``high="null"``), or the column dropped
-    (``high="drop"``). Codes number the values of the whole table in sorted order from 0 and null
-    last, so every part of the table agrees on them. At most 100 values per coded column are held in
-    the plan.
+    ``treat`` names the treatment of a column: ``code`` numbers its values, ``number`` casts them and makes other
+    text null, ``drop`` leaves the column out, ``keep`` leaves it alone. Without one, a column of ``numeric`` is
+    cast; another column is cast if all its texts are numbers and there are more than ``FEW`` of them, and coded
+    otherwise, so that no value is lost. Codes are those of ``value_codes``; ``known`` holds earlier ones.
     """
-    text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in preserved]
-    known = [c for c in text if c in numeric]
-    open_columns = [c for c in text if c not in known]
-    changes: dict[str, Column] = {c: F.col(c).try_cast("double") for c in known}
-    dropped: list[str] = []
-    short = _short_columns(df, open_columns)
-    for c in open_columns:
-        ordered = sorted(v for v in short.get(c, ()) if v is not None)
-        numbers = all(_LOOKS_NUMERIC.fullmatch(v) for v in ordered)
-        if c not in short and high == "drop":
-            dropped.append(c)
-        elif c not in short or (len(short[c]) > FEW and numbers):
-            changes[c] = F.col(c).try_cast("double")
-        else:
-            table = encode(F.col(c), {v: i for i, v in enumerate(ordered)}) if ordered else F.lit(None).cast("double")
-            changes[f"{c}_code"] = F.when(F.col(c).isNull(), F.lit(float(len(ordered)))).otherwise(table)
-            dropped.append(c)
-    return df.withColumns(changes).drop(*dropped) if changes or dropped else df
+    treat = dict(treat or {})
+    wrong = sorted(set(treat.values()) - set(TREATMENTS))
+    if wrong:
+        raise ValueError(f"unknown treatment {wrong}, expected one of {TREATMENTS}")
+    text = _text_columns(df, [p for p in preserved if p not in treat])
+    treat = {c: "number" for c in text if c in numeric} | treat
+    numbers = _number_like(df, [c for c in text if c not in treat])
+    kinds = {c: treat.get(c) or ("number" if c in numbers else "code") for c in text}
+    of = lambda kind: [c for c in text if kinds[c] == kind]
+    out = df.withColumns({c: F.col(c).try_cast("double") for c in of("number")}).drop(*of("drop"))
+    if not of("code"):
+        return out
+    return encode_values(out, value_codes(df, of("code"), known, **size), of("code"))
