@@ -44,7 +44,23 @@ def test_all_metadata_tables_reach_the_table(spark, archive, tmp_path):  # noqa:
     jobs.process_archive(spark, archive, out)
     table = spark.read.parquet(out)
     got = values(table, "plant_id", "latitude", "stand_age", "leaf_area_index", "n_trees", "measurement_timestep", "pl_dbh")
-    assert got == [("t1", -30.5, 40.0, None, 7.0, 30.0, 20.0)] * 2
+    assert got == [("t1", -30.5, 40.0, None, 7.0, 30.0, 10.0)] * 2
+
+
+def test_texts_are_coded_alike_in_later_runs(spark, archive, tmp_path):  # noqa: F811
+    root, out = Path(archive), str(tmp_path / "features")
+    put(root, "AUS_ONE_species_md.csv", "sp_name,sp_ntrees\nPinus,7\n")
+    put(root, "AUS_ONE_env_md.csv", "env_timestep,env_time_zone\n30,5UTC+01:00\n")
+    jobs.process_archive(spark, archive, out)
+    for name, species in (("ZZ_NEW", "Abies"), ("ZZ_OLD", "Pinus")):
+        put(root, f"{name}_env_data.csv", "TIMESTAMP,ta\n2020-01-01 00:00:00,9.0\n")
+        put(root, f"{name}_sapf_data.csv", "TIMESTAMP,t1\n2020-01-01 00:00:00,5\n")
+        put(root, f"{name}_species_md.csv", f"sp_name,sp_ntrees\n{species},7\n")
+    jobs.process_archive(spark, archive, out)
+    got = {r.site: r.species_name_code for r in spark.read.option("mergeSchema", "true").parquet(out).collect()}
+    # null was given the code after the values of the first run
+    assert got == {"AUS_ONE": 0.0, "ZZ_NEW": 2.0, "ZZ_OLD": 0.0}
+    assert all(kind != "string" or c in ("site", "plant_id") for c, kind in spark.read.parquet(out).dtypes)
 
 
 def test_audit_of_an_archive(spark, archive):  # noqa: F811

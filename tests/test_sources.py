@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from verdure.operators import profile
 from verdure.plans import bindings, feature_table
 from verdure.session import clear_scratch, scratch_path
-from verdure.sources import sinks, stations
+from verdure.sources import files, sinks, stations
 from verdure.streaming import jobs
 
 
@@ -66,9 +66,94 @@ def test_quoted_metadata(spark, archive):
     assert values(out, "site", "si_name", "si_lat", "si_elev") == [("AUS_ONE", "Hill, north", "-30.5", None)]
 
 
+def test_the_time_column_may_stand_anywhere(spark, tmp_path):
+    put(tmp_path, "AA_env_data.csv", "TIMESTAMP,ta\n2020-01-01 00:00:00,1\n")
+    put(tmp_path, "BB_env_data.csv", "ta,vpd,x,\"TIMESTAMP\"\n2,3,4,2020-01-01 00:00:00\n")
+    put(tmp_path, "CC_env_data.csv", "\n  \nta, TIMESTAMP ,ta\n5,2020-01-01 00:00:00,6\n,,\n")
+    out = stations.read_wide(spark, str(tmp_path), "env", ["ta", "vpd"])
+    assert values(out.where("ts IS NOT NULL"), "site", "ta", "vpd") == [("AA", 1.0, None), ("BB", 2.0, 3.0), ("CC", 5.0, None)]
+
+
+def test_a_line_that_looks_like_a_header_is_data(spark, tmp_path):
+    put(tmp_path, "AA_env_data.csv", "TIMESTAMP,note\n2020-01-01 00:00:00,a\nTIMESTAMP,note\n")
+    out = stations.read_long(spark, str(tmp_path), "env", "data", "c", "v")
+    assert out.count() == 2
+
+
+def test_unusable_files_are_listed(spark, archive):
+    root = Path(archive)
+    put(root, "X_env_data.csv", "time,ta\n1,2\n")
+    put(root, "Y_sapf_data.csv", "\n")
+    put(root, "Z_site_md.csv", "1,2\n")
+    out = stations.unusable_files(spark, archive)
+    assert values(out, "site", "kind", "part", "header") == [
+        ("X", "env", "data", "time,ta"), ("Y", "sapf", "data", ""), ("Z", "site", "md", "1,2"),
+    ]
+    assert stations.read_wide(spark, archive, "env", ["ta"]).where("site = 'X'").isEmpty()
+
+
+def test_of_a_plain_and_a_gzipped_copy_one_is_read(spark, tmp_path):
+    import gzip
+
+    text = "TIMESTAMP,ta\n2020-01-01 00:00:00,1\n"
+    put(tmp_path, "A_env_data.csv", text)
+    (tmp_path / "A_env_data.csv.gz").write_bytes(gzip.compress(text.encode()))
+    (tmp_path / "B b_env_data.csv.gz").write_bytes(gzip.compress(text.encode()))
+    (tmp_path / "C[1]{x}_env_data.csv").write_text(text)
+    out = stations.read_wide(spark, str(tmp_path), "env", ["ta"])
+    assert values(out, "site", "ta") == [("A", 1.0), ("B b", 1.0), ("C[1]{x}", 1.0)]
+
+
+def test_only_files_of_the_sites_asked_for_are_read(spark, archive, frame):
+    one = frame([("ESP_TWO_A",)], "site string")
+    found = stations.station_files(spark, archive, "env", "data", one)
+    assert [f.site for f in found] == ["ESP_TWO_A"]
+    out = stations.read_wide(spark, archive, "env", ["ta"], sites=one)
+    assert [f.rsplit("/", 1)[1] for f in out.inputFiles()] == ["ESP_TWO_A_env_data.csv"]
+    assert stations.read_wide(spark, archive, "env", ["ta"], sites=one.where("false")).count() == 0
+
+
+def test_metadata_rows_keep_the_order_of_the_file(spark, tmp_path):
+    put(tmp_path, "A_site_md.csv", "si_name,si_lat\nz,9\na,1\n")
+    put(tmp_path, "A_plant_md.csv", "pl_code,pl_dbh\nt,9\nt,1\n")
+    site = feature_table.site_metadata(spark, str(tmp_path), {"site": ("si_name", "si_lat")})
+    assert values(site, "site", "si_name", "si_lat") == [("A", "z", 9.0)]
+    assert values(feature_table.plant_metadata(spark, str(tmp_path)), "pl_code", "pl_dbh") == [("t", 1.0)]
+
+
+def test_a_table_of_parquet_and_csv_files_reads_as_one(spark, frame, tmp_path):
+    df = frame([("a", 1.5, 1), ("b", 2.5, 2)], "site string, v double, n int")
+    sinks.write_parquet(df, str(tmp_path / "t"))
+    put(tmp_path / "t" / "site=c", "x.csv", "n,v,more\n3,3.5,yes\n4,NA,no\n5,bad,\n")
+    put(tmp_path / "t" / "site=d", "y.csv", "v,n\n6.5,6\n")
+    out = files.read_table(spark, str(tmp_path / "t"))
+    assert dict(out.dtypes) == {"v": "double", "n": "int", "site": "string", "more": "string"}
+    assert values(out, "site", "n", "v", "more") == [
+        ("a", 1, 1.5, None), ("b", 2, 2.5, None), ("c", 3, 3.5, "yes"), ("c", 4, None, "no"), ("c", 5, None, None), ("d", 6, 6.5, None),
+    ]
+    put(tmp_path / "u", "x.csv", "v,n\n6.5,6\n")
+    only = files.read_table(spark, str(tmp_path / "u"))
+    assert dict(only.dtypes) == {"v": "double", "n": "int"} and only.count() == 1
+    with pytest.raises(ValueError, match="no parquet or CSV"):
+        (tmp_path / "none").mkdir()
+        files.read_table(spark, str(tmp_path / "none"))
+
+
+def test_columns_of_every_file(spark, frame, tmp_path):
+    root = tmp_path / "t"
+    frame([("a", 1.5)], "site string, v double").write.partitionBy("site").parquet(str(root))
+    frame([("b", 1.5, "x")], "site string, v double, w string").write.mode("append").partitionBy("site").parquet(str(root))
+    put(root / "site=c", "x.csv", "v,TIMESTAMP\n3,4\n")
+    got = values(files.file_columns(spark, str(root)).withColumn("file", F.regexp_extract("file", "site=(.)", 1)), "file", "column", "type")
+    assert got == [
+        ("a", "site", "folder"), ("a", "v", "double"), ("b", "site", "folder"), ("b", "v", "double"), ("b", "w", "string"),
+        ("c", "TIMESTAMP", "text"), ("c", "site", "folder"), ("c", "v", "text"),
+    ]
+
+
 def test_missing_kind_is_an_error(spark, archive):
     with pytest.raises(ValueError, match="no plant md"):
-        stations.scan_fields(spark, archive, "plant", "md")
+        stations.read_metadata(spark, archive, "plant", ["pl_code"])
 
 
 def test_archive_to_feature_table(spark, archive):
@@ -81,7 +166,7 @@ def test_archive_to_feature_table(spark, archive):
     ]
     assert len(out.columns) >= 50
     verdict = profile.output_acceptance(out, by=["site"]).first()
-    assert verdict.accepted and verdict.reported_columns == 0
+    assert verdict.accepted and verdict.reported_columns == ""
 
 
 def test_feature_table_of_long_series_and_hot_hours(spark):
@@ -149,7 +234,7 @@ def test_profiles(frame):
     assert values(profile.infinity_profile(df), "column", "infinities") == [("v", 1)]
     assert values(profile.string_profile(df), "column", "distinct_values", "listed_values") == [("site", 2, "a|b"), ("t", 1, "x")]
     assert values(profile.string_profile(df, exact=False), "column", "distinct_values") == [("site", 2), ("t", 1)]
-    assert profile.type_profile(df) == {"string": 2, "double": 1}
+    assert values(profile.type_profile(df), "type", "n_columns", "columns") == [("double", 1, "v"), ("string", 2, "site|t")]
     row = profile.describe(df, "v").first()
     assert (row.n, row.missing) == (2, 1)
 
@@ -159,6 +244,7 @@ def test_long_columns_are_sketched(spark):
     got = {r.column: r for r in profile.string_profile(df, exact=False).collect()}
     assert abs(got["many"].distinct_values - 2000) < 200 and got["many"].listed_values is None
     assert got["one"].listed_values == "x"
+    assert got["one"].is_exact and not got["many"].is_exact
 
 
 def test_acceptance(frame):
@@ -166,7 +252,24 @@ def test_acceptance(frame):
     assert not profile.output_acceptance(df).first().accepted
     assert profile.output_acceptance(df, min_columns=2).first().accepted
     assert not profile.output_acceptance(df.where("site = 'z'"), min_columns=2).first().accepted
-    assert profile.blocked_columns(df.withColumn("netrad", F.lit(1))) == ["netrad"]
+    extra = df.withColumn("wind_stress", F.lit(1)).withColumn("netrad", F.lit(1))
+    assert profile.output_acceptance(extra).first().reported_columns == "netrad|wind_stress"
+
+
+def test_files_of_different_schemas_are_judged_by_their_own(spark, frame, tmp_path):
+    root = tmp_path / "t"
+    frame([("a", 1.0, "x"), ("a", 2.0, "x")], "site string, sap_flow double, pl_name string").coalesce(1).write.partitionBy("site").parquet(str(root))
+    frame([("b", 1, 2)], "site string, TIMESTAMP_solar int, netrad int").write.mode("append").partitionBy("site").parquet(str(root))
+    put(root / "site=c", "x.csv", "v,sap_flow\n3,4\n\n5,6\n")
+    out = profile.dataset_profile(spark, str(root)).withColumn("file", F.regexp_extract("file", "site=(.)", 1))
+    got = values(out, "file", "n_rows", "n_columns", "has_target", "has_timestamp", "has_site", "reported_columns", "text_columns")
+    assert got == [
+        ("a", 2, 3, True, False, True, "pl_name", "pl_name"),
+        ("b", 1, 3, False, True, True, "netrad", ""),
+        ("c", 2, 3, True, False, True, "", ""),
+    ]
+    (tmp_path / "empty").mkdir()
+    assert profile.dataset_profile(spark, str(tmp_path / "empty")).count() == 0
 
 
 def test_pending(frame):

@@ -28,7 +28,11 @@ def _archive(spark, sf_dir, kinds=("env", "sapf"), compress: bool = False):
         sinks.write_station_files(env, root, "env", compress=compress)
     if "sapf" in kinds:
         flow = b.flow_wide(spark, sf_dir).select("site", stamp, "tree_1", "tree_2")
-        sinks.write_station_files(flow, root, "sapf", compress=compress)
+        # files differ in the place of their time column, and some have row numbers in a column without a name
+        late = F.col("site") < "h"
+        sinks.write_station_files(flow.where(~late), root, "sapf", compress=compress)
+        numbered = flow.where(late).select("site", F.lit(7).alias(" "), "tree_2", "TIMESTAMP", "tree_1")
+        sinks.write_station_files(numbered, root, "sapf", compress=compress)
     return root
 
 
@@ -169,21 +173,40 @@ def target_describe(spark, sf_dir):
     return rounded(ops.describe(b.ndvi(spark, sf_dir), "ndvi"), "mean", "std", "min", "max")
 
 
+@query(
+    "type_profile",
+    """SELECT type, count(*) AS n_columns, string_agg(column_name, '|' ORDER BY column_name) AS columns FROM
+       (SELECT column_name, CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'INTEGER' THEN 'int'
+        ELSE lower(column_type) END AS type FROM (DESCRIBE events)) d GROUP BY type""",
+)
+def type_profile(spark, sf_dir):
+    return ops.type_profile(b.table(spark, sf_dir, "events"))
+
+
 @query(
     "dataset_profile",
-    """SELECT site, count(*) AS n_rows, 4 AS n_columns, true AS has_target, true AS has_timestamp, true AS has_site
+    """SELECT site, count(*) AS n_rows, CASE WHEN site < 'h' THEN 4 WHEN site < 's' THEN 5 ELSE 3 END AS n_columns, site < 's' AS has_target,
+       true AS has_timestamp, true AS has_site, CASE WHEN site < 'h' OR site >= 's' THEN '' ELSE 'netrad|pl_name' END AS reported_columns,
+       CASE WHEN site < 'h' OR site >= 's' THEN '' ELSE 'pl_name' END AS text_columns
        FROM (SELECT event_type AS site FROM events) e GROUP BY site""",
 )
 def dataset_profile(spark, sf_dir):
     path = scratch_path(spark, "dataset")
     rows = b.series(spark, sf_dir).select("site", "plant_id", F.col("ts").alias("TIMESTAMP"), F.col("ta").alias("sap_flow"))
-    sinks.write_parquet(rows, path)
-    out = ops.dataset_profile(spark.read.parquet(path))
+    # three schemas side by side: two of parquet files, one of CSV files
+    sinks.write_parquet(rows.where("site < 'h'"), path)
+    second = rows.where("site >= 'h' AND site < 's'").withColumn("pl_name", F.lit("x"))
+    sinks.write_parquet(second.withColumnRenamed("plant_id", "netrad"), path, mode="append")
+    sinks.write_csv(rows.where("site >= 's'").drop("sap_flow"), path, mode="append")
+    out = ops.dataset_profile(spark, path)
     # large sites are written as several files
     site = F.regexp_extract("file", "site=([^/]+)", 1).alias("site")
     flags = ("has_target", "has_timestamp", "has_site")
     return out.groupBy(site).agg(
-        F.sum("n_rows").alias("n_rows"), F.max("n_columns").alias("n_columns"), *[F.every(f).alias(f) for f in flags]
+        F.sum("n_rows").alias("n_rows"),
+        F.max("n_columns").cast("int").alias("n_columns"),
+        *[F.every(f).alias(f) for f in flags],
+        *[F.max(c).alias(c) for c in ("reported_columns", "text_columns")],
     )
 
 
@@ -228,7 +251,7 @@ def _accepted(spark, sf_dir):
 @query(
     "output_acceptance",
     b.with_cte(
-        "SELECT site, n_rows, true AS accepted, 0 AS reported_columns, 0 AS infinite_columns FROM kept", "flow_wide", extra={"kept": _KEPT}
+        "SELECT site, n_rows, true AS accepted, '' AS reported_columns, 0 AS infinite_columns FROM kept", "flow_wide", extra={"kept": _KEPT}
     ),
 )
 def output_acceptance(spark, sf_dir):

@@ -124,7 +124,7 @@ FEW = 20
 TREATMENTS = ("code", "number", "drop", "keep")
 
 
-def _text_columns(df: DataFrame, preserved: Sequence[str]) -> list[str]:
+def text_columns(df: DataFrame, preserved: Sequence[str] = PRESERVED) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in preserved]
 
 
@@ -208,7 +208,7 @@ def auto_encode(
     wrong = sorted(set(treat.values()) - set(TREATMENTS))
     if wrong:
         raise ValueError(f"unknown treatment {wrong}, expected one of {TREATMENTS}")
-    text = _text_columns(df, [p for p in preserved if p not in treat])
+    text = text_columns(df, [p for p in preserved if p not in treat])
     treat = {c: "number" for c in text if c in numeric} | treat
     numbers = _number_like(df, [c for c in text if c not in treat])
     kinds = {c: treat.get(c) or ("number" if c in numbers else "code") for c in text}

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdure.operators.align import BLOCKED
+from verdure.session import materialize
+from verdure.sources import files
 
 MIN_COLUMNS = 50
 ESSENTIAL = ("sap_flow", "site")
@@ -45,7 +47,7 @@ def string_profile(df: DataFrame, exact: bool = True, listed: int = LISTED) -> D
     """Distinct values per text column, with the values themselves where there are few.
 
     With ``exact=False`` the number of distinct values is a sketch and only columns near the limit
-    are counted exactly, which spares shuffling every distinct value of a long column.
+    are counted exactly, which spares shuffling every distinct value of a long column; ``is_exact`` says which.
     """
     text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     strings = df.select(*text)
@@ -57,7 +59,7 @@ def string_profile(df: DataFrame, exact: bool = True, listed: int = LISTED) -> D
         row = sketch.first()
         near = [c for c in text if row[c] <= 2 * listed]
     if not near:
-        return sketched.withColumn("listed_values", F.lit(None).cast("string"))
+        return sketched.select("*", F.lit(None).cast("string").alias("listed_values"), F.lit(False).alias("is_exact"))
     values = strings.select(*near).unpivot([], near, "column", "value").where("value IS NOT NULL").distinct()
     sizes = values.groupBy("column").agg(F.count("value").alias("distinct_values"))
     few = sizes.where(F.col("distinct_values") <= listed).select("column")
@@ -69,15 +71,14 @@ def string_profile(df: DataFrame, exact: bool = True, listed: int = LISTED) -> D
     if sketched is not None:
         far = sketched.where(~F.col("column").isin(*near))
         sizes = sizes.unionByName(far)
-    return sizes.join(lists, "column", "left")
+    out = sizes.join(lists, "column", "left")
+    return out if exact else out.withColumn("is_exact", F.col("column").isin(*near))
 
 
-def type_profile(df: DataFrame) -> dict[str, int]:
-    """Number of columns per type name."""
-    out: dict[str, int] = {}
-    for _, name in df.dtypes:
-        out[name] = out.get(name, 0) + 1
-    return out
+def type_profile(df: DataFrame) -> DataFrame:
+    """Number of columns per type name and the columns themselves."""
+    kinds = df.sparkSession.createDataFrame(df.dtypes, "column string, type string")
+    return kinds.groupBy("type").agg(F.count(F.lit(1)).alias("n_columns"), _names(F.col("column")).alias("columns"))
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
@@ -97,17 +98,44 @@ def file_rows(df: DataFrame) -> DataFrame:
     return df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def dataset_profile(df: DataFrame, target: str = "sap_flow", site: str = "site") -> DataFrame:
-    """Rows and columns per file and whether target, time and site columns are there."""
-    names = df.columns
-    return file_rows(df).select(
-        "file",
-        "n_rows",
-        F.lit(len(names)).alias("n_columns"),
-        F.lit(target in names).alias("has_target"),
-        F.lit(any("timestamp" in c.lower() for c in names)).alias("has_timestamp"),
-        F.lit(site in names).alias("has_site"),
+def _names(chosen: Column) -> Column:
+    """The column names for which ``chosen`` is not null, in order, as one text."""
+    return F.array_join(F.sort_array(F.collect_set(chosen)), "|")
+
+
+def dataset_profile(
+    spark: SparkSession, root: str, target: str = "sap_flow", site: str = "site", reported: Sequence[str] = REPORTED
+) -> DataFrame:
+    """Per parquet and CSV file below ``root`` its rows and what its own columns are.
+
+    Every file is judged by its own schema, so files of different schemas may lie side by side. Columns of folder names
+    count as columns of the file. ``reported_columns`` and ``text_columns`` name the columns that should not be there
+    and those of text type; the types of a CSV file are not known, so it has none. Row counts of parquet files come
+    from their footers.
+    """
+    columns = materialize(files.file_columns(spark, root), "file-columns")
+    name = F.col("column")
+    shape = columns.groupBy("file").agg(
+        F.count(name).alias("n_columns"),
+        F.coalesce(F.bool_or(name == target), F.lit(False)).alias("has_target"),
+        F.coalesce(F.bool_or(F.lower(name).contains("timestamp")), F.lit(False)).alias("has_timestamp"),
+        F.coalesce(F.bool_or(name == site), F.lit(False)).alias("has_site"),
+        _names(F.when(name.isin(*reported), name)).alias("reported_columns"),
+        _names(F.when(F.col("type") == "string", name)).alias("text_columns"),
     )
+    listed = files.listing(spark, root, "*.{parquet,csv,csv.gz}").select("path").collect()
+    paths = [files.literal(r["path"]) for r in listed]
+    whole = spark.read.option("recursiveFileLookup", "true")
+    counts = []
+    if binary := [p for p in paths if p.endswith(".parquet")]:
+        counts.append(file_rows(whole.parquet(*binary)))
+    if texts := [p for p in paths if not p.endswith(".parquet")]:
+        lines = file_rows(whole.text(texts).where(F.trim("value") != ""))
+        counts.append(lines.select("file", F.greatest(F.col("n_rows") - 1, F.lit(0)).alias("n_rows")))  # but the header
+    if not counts:
+        counts = [spark.createDataFrame([], "file string, n_rows long")]
+    rows = reduce(DataFrame.unionByName, counts)
+    return shape.join(rows, "file", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
 
 
 def output_acceptance(
@@ -119,9 +147,8 @@ def output_acceptance(
 ) -> DataFrame:
     """Verdict on written output, per group of ``by`` columns or over all.
 
-    Output is accepted when it has enough columns, the essential ones and at least one row. Also
-    counted: columns that should not be there, text columns, columns with missing and with infinite
-    values.
+    Output is accepted when it has enough columns, the essential ones and at least one row. Columns that should not be
+    there are named. Also counted: text columns, columns with missing and with infinite values.
     """
     columns = [c for c in df.columns if c not in by]
     floats = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and f.name not in by]
@@ -134,7 +161,7 @@ def output_acceptance(
         n.alias("n_rows"),
         F.lit(len(df.columns)).alias("n_columns"),
         F.lit(texts).alias("text_columns"),
-        F.lit(sum(c in df.columns for c in reported)).alias("reported_columns"),
+        F.lit("|".join(sorted(c for c in reported if c in df.columns))).alias("reported_columns"),
         F.coalesce(missing, F.lit(0)).alias("missing_columns"),
         F.coalesce(sum(infinite[1:], infinite[0]) if infinite else F.lit(0), F.lit(0)).alias("infinite_columns"),
         (F.lit(shape) & (n > 0)).alias("accepted"),
@@ -148,10 +175,6 @@ def run_summary(sites: DataFrame, status: str = "status", rows: str = "n_rows",
     )
 
 
-def blocked_columns(df: DataFrame, blocked: Sequence[str] = BLOCKED) -> list[str]:
-    return [c for c in df.columns if c in blocked]
-
-
 def pending(sites: DataFrame, done: DataFrame, key: Sequence[str] = ("site",)) -> DataFrame:
     """Sites that still have to be processed."""
     return sites.select(*key).distinct().join(done.select(*key).distinct(), list(key), "left_anti")

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdure.functions import calendar, derived
+from verdure.functions.codes import BY_COLUMN
 from verdure.operators import align, features, metadata, quality, reshape
-from verdure.operators.joins import lookup_join
 from verdure.operators.ordered import BLOCK_ROWS, MAX_SERIES_ROWS
 from verdure.session import materialize
-from verdure.sources import stations
+from verdure.sources import sinks, stations
 
 
 def add_time_features(df: DataFrame, ts: str = "ts", solar_ts: str | None = None) -> DataFrame:
@@ -36,6 +36,7 @@ def build(
     lags: Sequence[int] = features.LAGS,
     widths: Sequence[int] = features.ROLLING_WIDTHS,
     interactions: bool = False,
+    codes: DataFrame | None = None,
     max_rows: int = MAX_SERIES_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
@@ -43,7 +44,8 @@ def build(
 
     One shuffle by (site, ts) brings readings and weather together, one by (site, plant_id) serves
     every lag and rolling column. Metadata comes last, after the wide window stage, and is broadcast
-    when it is small. Large sites and trees are looked for in the readings as they were given.
+    when it is small. Large sites and trees are looked for in the readings as they were given. Texts of the metadata
+    without a code table of their own become codes, those of ``codes`` where given.
     """
     size = {"max_rows": max_rows, "count_from": flow}
     if env_flags is not None:
@@ -62,21 +64,16 @@ def build(
     if interactions:
         df = df.withColumns(derived.interactions(df.columns))
     df = metadata.encode_known(df)
+    texts = metadata.text_columns(df, metadata.PRESERVED)
+    if texts:
+        codes = text_codes(site_table, plants) if codes is None else codes
+        df = metadata.encode_values(df, codes, texts)
     return align.align_schema(df, blocked=[b for b in align.BLOCKED if not interactions])
 
 
 # The columns read from each metadata table that describes a site.
-METADATA = {
-    "site": ("si_lat", "si_long", "si_elev", "si_mat", "si_map", "si_biome", "si_igbp"),
-    "stand": (
-        "st_age", "st_basal_area", "st_density", "st_height", "st_lai", "st_clay_perc", "st_sand_perc", "st_silt_perc",
-        "st_soil_depth", "st_growth_condition",
-    ),
-    "species": ("sp_leaf_habit", "sp_ntrees"),
-    "env": ("env_timestep", "env_time_zone"),
-}
-# Attributes of trees that are numbers or have a code table.
-PLANTS = tuple(c for c in metadata.PLANT_COLUMNS if c != "pl_species")
+_PREFIXES = {"site": ("si_", "is_"), "stand": ("st_",), "species": ("sp_",), "env": ("env_",)}
+METADATA = {kind: tuple(c for c in metadata.SITE_COLUMNS if c.startswith(p)) for kind, p in _PREFIXES.items()}
 
 
 def _numbers(df: DataFrame) -> DataFrame:
@@ -85,15 +82,40 @@ def _numbers(df: DataFrame) -> DataFrame:
     return align.to_numbers(df, [c for c in df.columns if metadata.SITE_COLUMNS.get(c, c) in known])
 
 
-def site_metadata(spark, root: str, kinds: Mapping[str, Sequence[str]]) -> DataFrame | None:
-    """One row per site from the metadata tables of the given kinds; of several rows the first by value."""
-    tables = [
-        metadata.first_per_key(_numbers(stations.read_metadata(spark, root, kind, columns)), ["site"], columns)
-        for kind, columns in kinds.items()
-    ]
+def site_metadata(spark, root: str, kinds: Mapping[str, Sequence[str]], sites: DataFrame | None = None) -> DataFrame | None:
+    """One row per site from the metadata tables of the given kinds; of several rows the first of the file."""
+    tables = []
+    for kind, columns in kinds.items():
+        rows = stations.read_metadata(spark, root, kind, columns, sites, line=True)
+        tables.append(metadata.first_per_key(_numbers(rows), ["site"], ["line"]).drop("line"))
     return reduce(lambda a, b: a.join(b, "site", "full"), tables) if tables else None
 
 
+def plant_metadata(spark, root: str, sites: DataFrame | None = None) -> DataFrame:
+    """One row per site and plant code; of a repeated code the last of the file."""
+    rows = stations.read_metadata(spark, root, "plant", ["pl_code", *metadata.PLANT_COLUMNS], sites, line=True)
+    return metadata.last_per_key(_numbers(rows), ["site", "pl_code"], ["line"]).drop("line")
+
+
+def text_codes(site_table: DataFrame | None, plants: DataFrame | None, known: DataFrame | None = None) -> DataFrame | None:
+    """Codes of the texts of the small metadata tables that have no code table of their own, null included.
+
+    ``column`` is the name in the feature table. ``known`` holds the codes of earlier runs, which stay.
+    """
+    parts = []
+    for table in (site_table, plants):
+        if table is None:
+            continue
+        names = {f.name: metadata.SITE_COLUMNS.get(f.name, f.name) for f in table.schema if f.dataType.simpleString() == "string"}
+        free = {c: n for c, n in names.items() if n not in BY_COLUMN and n not in (*metadata.PRESERVED, "pl_code")}
+        if free:
+            parts.append(table.select(*[F.col(c).alias(n) for c, n in free.items()]))
+    if not parts:
+        return known
+    columns = [c for p in parts for c in p.columns]
+    return metadata.value_codes(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), columns, known, null=True)
+
+
 def build_from_archive(
     spark,
     root: str,
@@ -101,28 +123,34 @@ def build_from_archive(
     site_columns: Mapping[str, Sequence[str]] = METADATA,
     use_flags: bool = True,
     sites: DataFrame | None = None,
+    codes_path: str | None = None,
     **size,
 ) -> DataFrame:
-    """Feature table of an archive of station files, or of the ``sites`` listed."""
+    """Feature table of an archive of station files, or of the ``sites`` listed, whose files alone are read.
 
-    def of_sites(df: DataFrame) -> DataFrame:
-        return df if sites is None else lookup_join(df, sites.select("site"), ["site"], "left_semi")
-
-    env = of_sites(stations.read_wide(spark, root, "env", drivers))
-    flow = of_sites(stations.read_long(spark, root, "sapf", "data", "plant_id", "sap_flow"))
+    Texts of the metadata are coded. With ``codes_path`` the codes given there by earlier runs are used, and those of
+    new values are added to it, so that tables built one after the other agree.
+    """
+    env = stations.read_wide(spark, root, "env", drivers, sites=sites)
+    flow = stations.read_long(spark, root, "sapf", "data", "plant_id", "sap_flow", sites)
     flow = reshape.keep_valid_series(flow, ["site", "plant_id"], "sap_flow")
     listed = stations.site_catalog(spark, root).select("kind", "part").distinct().collect()  # a dozen at most
     kinds = {(r["kind"], r["part"]) for r in listed}
     flags = {}
     for kind in ("env", "sapf"):
         if use_flags and (kind, "flags") in kinds:
-            flags[kind] = of_sites(stations.read_long(spark, root, kind, "flags", "col_name", "flag"))
+            flags[kind] = stations.read_long(spark, root, kind, "flags", "col_name", "flag", sites)
     listed_md = {kind: columns for kind, columns in site_columns.items() if (kind, "md") in kinds}
     # small tables that come out of aggregates, used by several joins
-    site_table = site_metadata(spark, root, listed_md)
+    site_table = site_metadata(spark, root, listed_md, sites)
     if site_table is not None:
         site_table = materialize(site_table, "site-metadata")
     plants = None
     if ("plant", "md") in kinds:
-        plants = materialize(_numbers(stations.read_metadata(spark, root, "plant", ["pl_code", *PLANTS])), "plants")
-    return build(flow, env, site_table, plants, flags.get("sapf"), flags.get("env"), **size)
+        plants = materialize(plant_metadata(spark, root, sites), "plants")
+    known = sinks.read_if_there(spark, codes_path) if codes_path else None
+    codes = text_codes(site_table, plants, known)
+    if codes_path and codes is not None:
+        fresh = codes if known is None else codes.join(known, ["column", "code"], "left_anti")
+        fresh.write.mode("append").parquet(codes_path)
+    return build(flow, env, site_table, plants, flags.get("sapf"), flags.get("env"), codes=codes, **size)

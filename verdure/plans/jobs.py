@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,16 +14,6 @@ from verdure.session import materialize
 from verdure.sources import sinks, stations
 
 
-def _written_sites(spark: SparkSession, path: str) -> DataFrame | None:
-    """One row per row of an earlier output, holding only its site; ``None`` without such output."""
-    try:
-        return spark.read.schema("site string").parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-
-
 def process_archive(
     spark: SparkSession,
     root: str,
@@ -37,17 +26,20 @@ def process_archive(
     """Builds the feature table of all sites not yet in ``out`` and adds it there, one folder per site.
 
     ``tiers`` lists sites by quality tier; excluded tiers stay out even with ``force``, which only
-    replaces the output of sites processed before. Returns one row per outcome with sites and rows.
+    replaces the output of sites processed before. Only files of the sites to do are read. Codes of metadata texts are
+    kept beside the output, in ``<out>-codes``, so that later runs use the same. Returns one row per outcome with sites
+    and rows.
     """
     sites = stations.site_catalog(spark, root).select("site").distinct()
     if tiers is not None:
         sites = quality.exclude_sites(sites, tiers, include).select("site")
-    done = None if force else _written_sites(spark, out)
+    done = None if force else sinks.read_if_there(spark, out, "site string")
     todo = sites if done is None else profile.pending(sites, done)
     todo = materialize(todo, "todo")
+    options.setdefault("codes_path", f"{out.rstrip('/')}-codes")
     table = feature_table.build_from_archive(spark, root, sites=todo, **options)
     sinks.write_parquet(table, out, mode="overwrite" if force else "append")
-    rows = _written_sites(spark, out).groupBy("site").agg(F.count(F.lit(1)).alias("n_rows"))
+    rows = spark.read.schema("site string").parquet(out).groupBy("site").agg(F.count(F.lit(1)).alias("n_rows"))
     verdicts = todo.join(rows, "site", "left").select(
         F.when(F.col("n_rows").isNotNull(), "ok").otherwise("failed").alias("status"),
         F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
@@ -58,7 +50,8 @@ def process_archive(
 
 def audit_archive(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """All flag audit tables of an archive, empty without flag files. The audit per site is written once and shared."""
-    kinds = [k for k in ("env", "sapf") if stations.has_files(spark, root, k, "flags")]
+    listed = stations.site_catalog(spark, root).where("part = 'flags'").select("kind").distinct().collect()
+    kinds = sorted(r["kind"] for r in listed)
     if not kinds:
         none = spark.createDataFrame([], "site string, col_name string, flag string, kind string")
     long = [

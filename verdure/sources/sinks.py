@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,16 @@ def write_parquet(df: DataFrame, path: str, by: Sequence[str] = ("site",), compr
     out.partitionBy(*by).parquet(path)
 
 
+def read_if_there(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """An earlier output, or ``None`` where nothing has been written yet."""
+    try:
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def write_csv(df: DataFrame, path: str, by: Sequence[str] = ("site",), compress: bool = False, mode: str = "error"):
     """CSV with header, one folder per site, optionally gzipped."""
     out = _balanced(df, *by).write.mode(mode).option("header", "true")
