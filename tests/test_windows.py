@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import statistics
 from datetime import datetime, timedelta
 
 import pytest
@@ -121,6 +122,31 @@ def test_time_window_counts_hours_not_rows(frame):
     assert [g[2] for g in got] == [0.0, 0.5, 1.5, 2.5, 5.0]
 
 
+def test_clock_features_of_a_gappy_series(frame):
+    """Against all pairs of rows, with repeated times, nulls, gaps over several spans and values far from zero."""
+    start = datetime(2024, 1, 1)
+    hours = [0, 1, 1, 2, 5, 6, 30, 31, 32, 33, 200, 201, 206, 207]
+    rows = [(p, start + timedelta(hours=h), None if h in (31, 206) else 1e9 + (h * 7 + i) % 11) for p in ("a", None) for i, h in enumerate(hours)]
+    df = frame(rows, "p string, ts timestamp_ntz, ta double")
+    out = features.time_features(df, ["p"], "ts", ["ta", "none"], hours=(2, 6), lags=(1, 5))
+    got = {(r.p, r.ts): r for r in out.collect()}
+    assert set(got) == {(p, t) for p, t, _ in rows}
+    for (p, t), r in got.items():
+        own = [(u, v) for q, u, v in rows if q == p and v is not None]
+        for k in (1, 5):
+            at = [v for u, v in own if u == t - timedelta(hours=k)]
+            assert r[f"ta_lag_{k}h"] == (pytest.approx(sum(at) / len(at), rel=1e-15) if at else None)
+        for h in (2, 6):
+            near = [v for u, v in own if t - timedelta(hours=h) < u <= t]
+            assert r[f"ta_mean_{h}h"] == (pytest.approx(sum(near) / len(near), rel=1e-15) if near else None)
+            assert r[f"ta_std_{h}h"] == (pytest.approx(statistics.stdev(near), rel=1e-6, abs=1e-6) if len(near) > 1 else None)
+        assert r.none_lag_1h is None and r.none_std_2h is None
+    week = features.time_features(df, ["p"], "ts", ["ta"], hours=(6,), lags=(5,), since=start + timedelta(hours=5), until=start + timedelta(hours=200))
+    for r in week.collect():
+        assert start + timedelta(hours=5) <= r.ts < start + timedelta(hours=200)
+        assert r.ta_lag_5h == got[(r.p, r.ts)].ta_lag_5h and r.ta_std_6h == pytest.approx(got[(r.p, r.ts)].ta_std_6h, rel=1e-6)
+
+
 def test_quantiles_match_percentile(frame):
     df = frame(readings(), SCHEMA)
     probs = [0.05, 0.25, 0.5, 0.75]

@@ -96,6 +96,40 @@ def rolling_mean_time_range(spark, sf_dir):
     return rounded(ops.rolling_mean_time(b.series(spark, sf_dir), b.SERIES, "ts", ["ta"], [48], **week), "ta_mean_48h")
 
 
+@query(
+    "rolling_std_time",
+    b.with_cte(
+        "SELECT DISTINCT site, plant_id, ts, "
+        + ", ".join(
+            f"round(stddev_samp(ta) OVER (PARTITION BY site, plant_id ORDER BY ts RANGE BETWEEN INTERVAL {h * 3_600_000_000 - 1} "
+            f"MICROSECONDS PRECEDING AND CURRENT ROW), 6) AS ta_std_{h}h"
+            for h in _HOURS
+        )
+        + " FROM series",
+        "series",
+    ),
+)
+def rolling_std_time(spark, sf_dir):
+    out = ops.rolling_std_time(b.series(spark, sf_dir), b.SERIES, "ts", ["ta"], _HOURS)
+    return rounded(out, *[f"ta_std_{h}h" for h in _HOURS])
+
+
+@query(
+    "lag_time",
+    b.with_cte(
+        "SELECT e.site, e.ts, "
+        + ", ".join(f"round(l{k}.ta, 6) AS ta_lag_{k}h, l{k}.precip AS precip_lag_{k}h" for k in ops.LAGS)
+        + ", CAST(NULL AS DOUBLE) AS rh_lag_1h FROM env e "
+        + " ".join(f"LEFT JOIN env l{k} ON l{k}.site = e.site AND l{k}.ts = e.ts - INTERVAL {k} HOUR" for k in ops.LAGS),
+        "env",
+    ),
+)
+def lag_time(spark, sf_dir):
+    out = ops.lag_time(b.env(spark, sf_dir), ["site"], "ts", ["ta", "precip", "rh"])
+    lags = [f"{d}_lag_{k}h" for d in ("ta", "precip") for k in ops.LAGS]
+    return rounded(out.select("site", "ts", *lags, "rh_lag_1h"), *lags)
+
+
 @query(
     "rolling_slope",
     b.with_cte(

@@ -24,6 +24,7 @@ ROLLING_WIDTHS = (3, 6, 12, 24, 48, 72)
 EPSILON = 1e-6
 # Length of a span of a time-based window, in widest windows; 1/8 of the rows are seen twice.
 _SPAN_WINDOWS = 8
+_HOUR = 3600 * 1_000_000
 
 
 def lag_columns(
@@ -171,33 +172,48 @@ def series_features(
     return windowed(df, keys, order, add, max([*lags, *widths]), **size)
 
 
-def rolling_mean_time(
+def time_features(
     df: DataFrame,
     keys: Sequence[str],
     ts: str,
     drivers: Sequence[str],
-    hours: Sequence[int],
+    hours: Sequence[int] = (),
+    stats: Sequence[str] = ("mean", "std"),
+    lags: Sequence[int] = (),
     since: datetime | None = None,
     until: datetime | None = None,
 ) -> DataFrame:
-    """Mean over the trailing ``h`` hours, ``(t - h, t]``, one row per series and timestamp.
+    """Lags and rolling statistics by the clock instead of by rows, one row per series and timestamp.
+
+    ``<driver>_lag_<k>h`` is the value exactly ``k`` hours earlier, null where there is none; of several rows at that time
+    their mean. ``<driver>_mean_<h>h`` and ``<driver>_std_<h>h`` (sample deviation) cover the trailing hours
+    ``(t - h, t]``, nulls skipped. A driver the table lacks gives null columns.
 
-    Rows sharing a timestamp share the answer, so they are added up first. The series is then cut
-    into spans of several widest windows; each span also sees the last window of the span before
-    it, which is all a trailing window can reach. A task sorts the distinct timestamps of one span.
+    Rows sharing a timestamp share the answer, so they become one state (count, sum, squared deviations) first. The
+    series is then cut into spans of several widest windows; each span also sees the last window of the span before
+    it, which is all a trailing window can reach. A task sorts the distinct timestamps of one span. States are added
+    about the mean of their span, so that large values lose no digits.
 
     ``since`` (inclusive) and ``until`` (exclusive) restrict the answer; the time filter reaches the
     scan with the widest window as margin, so that the first answers are whole.
     """
+    widest = max([*hours, *lags])
     if since is not None:
-        df = df.where(F.col(ts) > F.lit(since - timedelta(hours=max(hours))))
+        df = df.where(F.col(ts) >= F.lit(since - timedelta(hours=widest)))
     if until is not None:
         df = df.where(F.col(ts) < F.lit(until))
-    parts = []
-    for d in drivers:
-        parts += [F.sum(d).alias(f"_sum_{d}"), F.count(d).alias(f"_n_{d}")]
+    have = [d for d in drivers if d in df.columns]
+    number = {d: i for i, d in enumerate(have)}
+    column = lambda name, d: f"_{name}{number[d]}"
+    spread = "std" in stats and bool(hours)
+    parts = [F.count(F.lit(1)).alias("_rows")]
+    for d in have:
+        value = F.col(d).cast("double")
+        parts += [F.count(d).alias(column("n", d)), F.avg(value).alias(column("mean", d))]
+        if spread:
+            parts.append((F.var_pop(value) * F.count(d)).alias(column("dev", d)))
     per_time = df.groupBy(*keys, ts).agg(*parts)
-    reach = max(hours) * 3600 * 1_000_000
+    reach = widest * _HOUR
     span = _SPAN_WINDOWS * reach
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     within = F.pmod("_us", F.lit(span))
@@ -207,17 +223,68 @@ def rolling_mean_time(
     near_end = within >= span - reach
     spans = F.when(near_end, F.array(F.col("_own"), F.col("_own") + 1)).otherwise(F.array(F.col("_own")))
     copied = placed.withColumn("_span", F.explode(spans))
-    spec = Window.partitionBy(*keys, "_span").orderBy("_us")
-    out = []
+    series = Window.partitionBy(*keys, "_span")
+    spec = series.orderBy("_us")
+    centre = {d: F.avg(column("mean", d)).over(series) for d in have}
+    copied = copied.select("*", *[c.alias(column("mid", d)) for d, c in centre.items()])
+    sums, out = [], []
     for d in drivers:
+        if d not in have:
+            names = [f"{d}_lag_{k}h" for k in lags] + [f"{d}_{s}_{h}h" for s in stats for h in hours]
+            out += [F.lit(None).cast("double").alias(n) for n in names]
+            continue
+        n, mid = F.col(column("n", d)), F.col(column("mid", d))
+        off = F.col(column("mean", d)) - mid
+        for k in lags:
+            at = spec.rangeBetween(-k * _HOUR, -k * _HOUR)
+            out.append(F.max(column("mean", d)).over(at).alias(f"{d}_lag_{k}h"))
         for h in hours:
-            frame = spec.rangeBetween(1 - h * 3600 * 1_000_000, 0)
-            mean = F.try_divide(F.sum(f"_sum_{d}").over(frame), F.sum(f"_n_{d}").over(frame))
-            out.append(mean.alias(f"{d}_mean_{h}h"))
-    done = copied.select("*", *out).where(F.col("_span") == F.col("_own"))
+            frame = spec.rangeBetween(1 - h * _HOUR, 0)
+            mine = lambda name, d=d, h=h: f"{column(name, d)}_{h}"
+            sums += [F.sum(n).over(frame).alias(mine("n")), F.sum(n * off).over(frame).alias(mine("s"))]
+            total, count = F.col(mine("s")), F.col(mine("n"))
+            if "mean" in stats:
+                out.append((mid + F.try_divide(total, count)).alias(f"{d}_mean_{h}h"))
+            if spread:
+                sums.append(F.sum(F.col(column("dev", d)) + n * off * off).over(frame).alias(mine("q")))
+                squared = F.greatest(F.col(mine("q")) - F.try_divide(total * total, count), F.lit(0.0))
+                out.append(F.when(count > 1, F.sqrt(squared / (count - 1))).alias(f"{d}_std_{h}h"))
+    done = copied.select("*", *sums).select("*", *out).where(F.col("_span") == F.col("_own"))
     if since is not None:
         done = done.where(F.col(ts) >= F.lit(since))
-    return done.select(*keys, ts, *[f"{d}_mean_{h}h" for d in drivers for h in hours])
+    names = [f"{d}_lag_{k}h" for d in drivers for k in lags] + [f"{d}_{s}_{h}h" for s in stats for d in drivers for h in hours]
+    return done.select(*keys, ts, *names)
+
+
+def lag_time(df: DataFrame, keys: Sequence[str], ts: str, drivers: Sequence[str] = LAG_DRIVERS, lags: Sequence[int] = LAGS) -> DataFrame:
+    """Values exactly so many hours earlier, one row per series and timestamp."""
+    return time_features(df, keys, ts, drivers, lags=lags, stats=())
+
+
+def rolling_mean_time(
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    drivers: Sequence[str],
+    hours: Sequence[int],
+    since: datetime | None = None,
+    until: datetime | None = None,
+) -> DataFrame:
+    """Mean over the trailing ``h`` hours, ``(t - h, t]``, one row per series and timestamp."""
+    return time_features(df, keys, ts, drivers, hours, ("mean",), (), since, until)
+
+
+def rolling_std_time(
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    drivers: Sequence[str],
+    hours: Sequence[int],
+    since: datetime | None = None,
+    until: datetime | None = None,
+) -> DataFrame:
+    """Sample deviation over the trailing ``h`` hours, ``(t - h, t]``, one row per series and timestamp."""
+    return time_features(df, keys, ts, drivers, hours, ("std",), (), since, until)
 
 
 def rolling_slope(
