@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from verdure.functions import calendar
 from verdure.operators.joins import lookup_join
-from verdure.operators.ordered import ranked, values_at
+from verdure.operators.ordered import null_safe, ranked, values_at
 from verdure.session import materialize
 
 SEED_TEXT = ""
@@ -17,9 +17,15 @@ SEED_TEXT = ""
 _PREFIX = 5
 
 
-def _keyed(df: DataFrame, group: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """``df`` with its group in one struct column, and the key to join by: null columns in a struct match each other."""
-    return (df.withColumn("_group", F.struct(*group)), ["_group"]) if group else (df, [])
+def _attach(df: DataFrame, cuts: DataFrame, group: Sequence[str]) -> DataFrame:
+    """``df`` with the cuts of its group, null being a group too; one row of cuts per group.
+
+    The cuts are written first, so that Spark knows their size and broadcasts them where they are small.
+    """
+    cuts = materialize(cuts.withColumnsRenamed({g: f"_of_{g}" for g in group}), "cuts")
+    if not group:
+        return df.join(F.broadcast(cuts))  # one row
+    return df.join(cuts, null_safe(df, cuts, [(g, f"_of_{g}") for g in group]))
 
 
 def hash_of(*key: str, seed: str = SEED_TEXT) -> Column:
@@ -82,9 +88,12 @@ def capped_sample(
     seed: str = SEED_TEXT,
 ) -> DataFrame:
     """At most ``per_group`` rows of each group and ``overall`` rows in all, drawn by key hash. Null is a group too."""
-    hashed, on = _keyed(df.withColumn("_hash", hash_of(*key, seed=seed)), group)
-    cuts = _hash_cut(hashed.select(*on, "_hash"), on, F.least(F.lit(per_group), F.col("_size")))
-    kept = lookup_join(hashed, cuts, on, "inner", derived=True)
+    hashed = df.withColumn("_hash", hash_of(*key, seed=seed))
+    # a struct as the one key: null columns in a struct match each other
+    narrow = hashed.select(F.struct(*group).alias("_group"), "_hash") if group else hashed.select("_hash")
+    on = ["_group"] if group else []
+    cuts = _hash_cut(narrow, on, F.least(F.lit(per_group), F.col("_size")))
+    kept = _attach(hashed, cuts.select("_cut", *[F.col(f"_group.{g}").alias(g) for g in group]), group)
     kept = kept.where(F.col("_hash") <= F.col("_cut")).select(*df.columns, "_hash")
     if overall is not None:
         kept = materialize(kept, "sample")  # already at most per_group rows of each group
@@ -94,6 +103,13 @@ def capped_sample(
     return kept.drop("_hash")
 
 
+def _cuts(df: DataFrame, group: Sequence[str], order: Sequence[str], positions: dict, **size) -> DataFrame:
+    """``values_at`` over a written index of group and order columns, so that the rows themselves are computed once
+    for the index and once to be labelled, whatever looks for long groups and ranks them."""
+    index = materialize(df.select(*group, *order), "split-index")
+    return values_at(index, list(group), list(order), positions, **size)
+
+
 def temporal_holdout(
     df: DataFrame, group: Sequence[str], order: Sequence[str], ratio: float = 0.8, **size
 ) -> DataFrame:
@@ -101,10 +117,9 @@ def temporal_holdout(
 
     Only the cut row of each group is searched; the rows themselves are labelled by comparison. Null is a group too.
     """
-    keyed, on = _keyed(df, group)
     at = {"_cut": lambda n: F.greatest(F.lit(1), F.floor(n * F.lit(ratio)).cast("bigint"))}
-    cuts = values_at(keyed, on, list(order), at, **size).drop("series_rows")
-    joined = lookup_join(keyed, cuts, on, "inner", derived=True)
+    cuts = _cuts(df, group, order, at, **size).drop("series_rows")
+    joined = _attach(df, cuts, group)
     label = F.when(F.struct(*order) <= F.col("_cut"), "train").otherwise("test")
     return joined.select(*df.columns, label.alias("split"))
 
@@ -117,10 +132,9 @@ def temporal_blocks(
     Fold f trains on blocks below f and tests on block f, so block 0 is never tested. Rows after the
     last full block get null, groups shorter than ``folds`` rows are left out. Null is a group too.
     """
-    keyed, on = _keyed(df, group)
     ends = {f"_end{f}": (lambda n, f=f: F.floor(n / folds) * (f + 1)) for f in range(folds)}
-    cuts = values_at(keyed, on, list(order), ends, **size).where(F.col("series_rows") >= folds)
-    joined = lookup_join(keyed, cuts.drop("series_rows"), on, "inner", derived=True)
+    cuts = _cuts(df, group, order, ends, **size).where(F.col("series_rows") >= folds)
+    joined = _attach(df, cuts.drop("series_rows"), group)
     here = F.struct(*order)
     block = F.lit(None).cast("int")
     for f in reversed(range(folds)):
@@ -147,14 +161,13 @@ def fixed_test_blocks(
     Fold f (from 1) tests on its own rows and trains on all rows with a lower label; rows before the
     first test set have label 0. Groups too short for a test row are left out. Null is a group too.
     """
-    keyed, on = _keyed(df, group)
 
     def end(f: int):
         return lambda n: n - (folds - f) * F.floor(n * F.lit(share)).cast("bigint")
 
-    cuts = values_at(keyed, on, list(order), {f"_end{f}": end(f) for f in range(folds)}, **size)
+    cuts = _cuts(df, group, order, {f"_end{f}": end(f) for f in range(folds)}, **size)
     cuts = cuts.where(F.floor(F.col("series_rows") * F.lit(share)) > 0).drop("series_rows")
-    joined = lookup_join(keyed, cuts, on, "inner", derived=True)
+    joined = _attach(df, cuts, group)
     # an end before the first row has no order tuple and never holds
     fold = F.lit(folds)
     for f in reversed(range(folds)):

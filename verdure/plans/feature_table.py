@@ -44,15 +44,15 @@ def build(
 
     One shuffle by (site, ts) brings readings and weather together, one by (site, plant_id) serves
     every lag and rolling column. Metadata comes last, after the wide window stage, and is broadcast
-    when it is small. Large sites and trees are looked for in the readings as they were given. Texts of the metadata
+    when it is small. Long series are looked for in the readings as they were given. Texts of the metadata
     without a code table of their own become codes, those of ``codes`` where given.
     """
     size = {"max_rows": max_rows, "count_from": flow}
     if env_flags is not None:
         env = quality.drop_flagged_rows(env, env_flags)
     if flow_flags is not None:
-        flow = quality.drop_flagged_rows(flow, flow_flags, **size)
-    df = reshape.join_drivers(flow, env, ["site", "ts"], target, **size)
+        flow = quality.drop_flagged_rows(flow, flow_flags)
+    df = reshape.join_drivers(flow, env, ["site", "ts"], target)
     df = features.series_features(df, ["site", "plant_id"], list(order), lags=lags, widths=widths, block_rows=block_rows, **size)
     df = add_time_features(df, "ts", "solar_ts")
     if site_table is not None:
