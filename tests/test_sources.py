@@ -297,11 +297,34 @@ def test_streamed_features_equal_the_batch_answer(spark, tmp_path):
         flow = pick(jobs.read_stream(spark, arriving, schema, per_run=1))
         jobs.append_features(flow, env, out, progress, on=("site", "h")).awaitTermination()
     batch = pick(bindings.table(spark, SF, "events")).join(env, ["site", "h"])
-    saved = spark.read.parquet(out)
+    saved = jobs.read_features(spark, out)
     assert saved.count() == batch.count()
     assert values(saved, "event_id", "site", "sw_in") == values(batch, "event_id", "site", "sw_in")
 
 
+def test_readings_wait_for_their_weather(spark, tmp_path):
+    """Weather and readings arrive in any order; an interrupted step and a repeated one change nothing."""
+    arriving, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    schema = bindings.table(spark, SF, "events").schema
+    env = bindings.env(spark, SF).withColumnRenamed("ts", "h")
+    pick = lambda df: df.select(F.col("event_type").alias("site"), "event_id", bindings.hour_of("ts").alias("h"), F.col("value").alias("sap_flow"))
+    assert jobs.retry_waiting(env, out) == 0 and jobs.read_features(spark, out) is None
+    part = lambda k: env.where(F.pmod(F.xxhash64("site", "h"), F.lit(4)) < k)
+    for known, _ in enumerate(slices(spark, arriving)):
+        flow = pick(jobs.read_stream(spark, arriving, schema))
+        jobs.append_features(flow, lambda k=known: part(k), out, progress, on=("site", "h")).awaitTermination()
+    joined_so_far = jobs.read_features(spark, out).count()
+    # a step that wrote rows but was lost before it wrote what waits does not count
+    env.limit(5).withColumn("event_id", F.lit(-1)).write.partitionBy("site").parquet(f"{out}/rows/step=3_1")
+    assert jobs.read_features(spark, out).count() == joined_so_far
+    assert jobs.retry_waiting(part(3), out, on=("site", "h")) > 0
+    assert jobs.retry_waiting(part(4), out, on=("site", "h")) == 0
+    batch = pick(bindings.table(spark, SF, "events")).join(env, ["site", "h"])
+    saved = jobs.read_features(spark, out)
+    assert values(saved, "event_id", "site", "sw_in") == values(batch, "event_id", "site", "sw_in")
+    assert jobs.retry_waiting(env, out, on=("site", "h")) == 0 and jobs.read_features(spark, out).count() == batch.count()
+
+
 def test_streamed_flag_counts_equal_the_batch_answer(spark, tmp_path):
     arriving, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
     schema = bindings.table(spark, SF, "events").schema

@@ -36,12 +36,12 @@ def stream_features(spark, sf_dir):
         F.col("value").alias("sap_flow"),
     )
     env = b.env(spark, sf_dir).select("site", F.col("ts").alias("weather_hour"), "ta", "sw_in")
-    out = scratch_path(spark, "stream-features")
-    job = jobs.append_features(
-        flow, env, out, scratch_path(spark, "progress"), enrich=add_time_features, on=("site", "weather_hour")
-    )
-    job.awaitTermination()
-    saved = spark.read.parquet(out)
+    out, on = scratch_path(spark, "stream-features"), ("site", "weather_hour")
+    # the weather of later days comes after the readings
+    early = env.where(F.col("weather_hour") < F.lit("2024-01-12").cast("timestamp_ntz"))
+    jobs.append_features(flow, early, out, scratch_path(spark, "progress"), add_time_features, on).awaitTermination()
+    jobs.retry_waiting(env, out, add_time_features, on)
+    saved = jobs.read_features(spark, out)
     return rounded(
         saved.select("site", "event_id", "plant_id", "ts", "sap_flow", "ta", "sw_in", "hour", "is_daylight"), "ta"
     )
