@@ -6,12 +6,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from verdure.catalog.registry import query, rounded
+from verdure.operators import align, features, reshape
 from verdure.operators import profile as ops
-from verdure.operators import reshape
 from verdure.plans import bindings as b
 from verdure.plans import feature_table
 from verdure.session import scratch_path
-from verdure.sources import sinks, stations
+from verdure.sources import files, sinks, stations
 
 
 def _flow_long(spark, sf_dir):
@@ -210,32 +210,125 @@ def dataset_profile(spark, sf_dir):
     )
 
 
-def _features(spark, sf_dir):
-    return feature_table.build(_flow_long(spark, sf_dir), b.env(spark, sf_dir))
+def _site_md(spark, sf_dir):
+    """Invented metadata of the sites; every value follows from the length of the site's name."""
+    n = F.length("site")
+    number = lambda c: c.cast("double")
+    return b.env(spark, sf_dir).select("site").distinct().select(
+        "site",
+        number(n * 12 - 72).alias("si_lat"),
+        number(n * 10).alias("si_long"),
+        number(n * 100).alias("si_elev"),
+        number(n - 5).alias("si_mat"),
+        number(n * 90).alias("si_map"),
+        F.when(n == 8, "Boreal Forests/Taiga").alias("si_biome"),
+        F.when(n == 4, "SAV").when(n == 5, "DBF").when(n == 6, "EBF").alias("si_igbp"),
+        F.when(n == 5, "AUS").otherwise("ESP").alias("si_country"),
+        F.when(n != 6, F.upper("site")).alias("si_name"),
+        number(n * 10).alias("st_age"),
+        number(n + 1).alias("st_lai"),
+        F.when(n == 5, "evergreen").alias("sp_leaf_habit"),
+        number(n).alias("sp_ntrees"),
+        F.when(n == 4, 0.0).otherwise(30.0).alias("env_timestep"),
+        F.when(n == 5, "5UTC+01:00").otherwise("UTC").alias("env_time_zone"),
+    )
 
 
-@query(
-    "feature_table",
-    b.with_cte(
-        """SELECT site, ts, plant_id, round(sap_flow, 6) AS sap_flow, round(e.ta, 6) AS ta, round(lag(e.ta, 3) OVER w, 6) AS ta_lag_3h,
-        round(avg(e.vpd) OVER (w ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), 6) AS vpd_mean_12h,
-        round(stddev_samp(e.sw_in) OVER (w ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), 6) AS sw_in_std_6h,
-        round(abs(e.ta - 25), 6) AS temp_deviation, CAST(hour(ts) AS INTEGER) AS hour, CAST(NULL AS DOUBLE) AS soil_depth
-        FROM flow JOIN env e USING (site, ts) WHERE sap_flow IS NOT NULL
+def _plant_md(spark):
+    rows = [("tree_1", 20.0, 60.0, 5.0, 3.5, 20.0, 2.5, "dominant", "Abies"), ("tree_2", 40.0, 120.0, 9.0, 0.0, 35.0, None, "suppressed", None)]
+    names = "pl_code string, pl_dbh double, pl_age double, pl_height double, pl_leaf_area double, pl_sapw_area double, pl_sapw_depth double"
+    return spark.createDataFrame(rows, f"{names}, pl_social string, pl_species string")
+
+
+def _features(spark, sf_dir, described: bool = True):
+    env = b.env(spark, sf_dir).withColumn("ppfd_in", F.col("sw_in") + 1).withColumn("solar_ts", F.col("ts") + F.expr("INTERVAL 20 MINUTES"))
+    flow = _flow_long(spark, sf_dir)
+    if not described:
+        return feature_table.build(flow, env)
+    flags = b.flags(spark, sf_dir)
+    of = lambda kind: flags.where(F.col("kind") == kind)
+    return feature_table.build(flow, env, _site_md(spark, sf_dir), _plant_md(spark), of("sapf"), of("env"))
+
+
+# The feature lists say which columns there are; what a column holds is written out below.
+_DRIVERS = ("ta", "sw_in", "vpd", "precip", "ppfd_in")
+_WINDOWED = {
+    **{
+        f"{d}_lag_{k}h": f"lag({d}, {k}) OVER w" if d in _DRIVERS else "CAST(NULL AS DOUBLE)"
+        for d in features.LAG_DRIVERS
+        for k in features.LAGS
+    },
+    **{
+        f"{d}_{name}_{k}h": f"{function}({d}) OVER (w ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)" if d in _DRIVERS else "CAST(NULL AS DOUBLE)"
+        for d in features.ROLLING_DRIVERS
+        for k in features.ROLLING_WIDTHS
+        for name, function in (("mean", "avg"), ("std", "stddev_samp"))
+    },
+}
+_FORMULAS = {
+    "hour": "hour(ts)", "day_of_year": "dayofyear(ts)", "month": "month(ts)", "year": "year(ts)", "day_of_week": "isodow(ts) - 1",
+    "is_daylight": "CAST(hour(ts) BETWEEN 6 AND 18 AS INTEGER)", "is_peak_sunlight": "CAST(hour(ts) BETWEEN 10 AND 16 AS INTEGER)",
+    "is_weekend": "CAST(isodow(ts) >= 6 AS INTEGER)", "solar_hour": "hour(solar_ts)", "solar_day_of_year": "dayofyear(solar_ts)",
+    "solar_hour_sin": "sin(hour(solar_ts) * 2 * pi() / 24)", "solar_hour_cos": "cos(hour(solar_ts) * 2 * pi() / 24)",
+    "solar_day_sin": "sin(dayofyear(solar_ts) * 2 * pi() / 365)", "solar_day_cos": "cos(dayofyear(solar_ts) * 2 * pi() / 365)",
+    "latitude": "n * 12.0e0 - 72", "longitude": "n * 10.0e0", "elevation": "n * 100.0e0", "mean_annual_temp": "n - 5.0e0",
+    "mean_annual_precip": "n * 90.0e0", "stand_age": "n * 10.0e0", "leaf_area_index": "n + 1.0e0", "n_trees": "n + 0.0e0",
+    "measurement_timestep": "CASE WHEN n = 4 THEN 0.0e0 ELSE 30.0e0 END", "measurement_frequency": "CASE WHEN n <> 4 THEN 2.0e0 END",
+    "latitude_abs": "abs(n * 12.0e0 - 72)",
+    "climate_zone_code": "CASE WHEN n * 12 - 72 <= -23.5 THEN 0.0e0 WHEN n * 12 - 72 <= 23.5 THEN 1.0e0 ELSE 2.0e0 END",
+    "aridity_index": "n * 90.0e0 / (n + 5)", "biome_code": "CASE WHEN n = 8 THEN 6.0e0 END", "leaf_habit_code": "CASE WHEN n = 5 THEN 3.0e0 END",
+    "igbp_code": "CASE n WHEN 4 THEN 9.0e0 WHEN 5 THEN 4.0e0 WHEN 6 THEN 2.0e0 END",
+    "igbp_class_code": "CASE n WHEN 4 THEN 9.0e0 WHEN 5 THEN 4.0e0 WHEN 6 THEN 2.0e0 END",
+    "country_code": "CASE WHEN n = 5 THEN 2.0e0 ELSE 11.0e0 END", "timezone_offset": "CASE WHEN n = 5 THEN 1.0e0 END",
+    "timezone_code": "CASE WHEN n = 5 THEN 0.0e0 ELSE 1.0e0 END",
+    "site_name_code": "CASE WHEN n = 6 THEN 0.0e0 + named ELSE place END",
+    "pl_dbh": "k * 20.0e0", "pl_age": "k * 60.0e0", "pl_height": "k * 4.0e0 + 1", "pl_leaf_area": "CASE k WHEN 1 THEN 3.5e0 ELSE 0.0e0 END",
+    "pl_sapw_area": "k * 15.0e0 + 5", "pl_sapw_depth": "CASE k WHEN 1 THEN 2.5e0 END",
+    "pl_social_code": "CASE k WHEN 1 THEN 3.0e0 ELSE 0.0e0 END", "social_status_code": "CASE k WHEN 1 THEN 3.0e0 ELSE 0.0e0 END",
+    "pl_species_code": "k - 1.0e0", "tree_size_class_code": "k + 0.0e0", "tree_age_class_code": "k + 1.0e0",
+    "tree_volume_index": "(k * 20) ** 2 * (k * 4.0e0 + 1)", "tree_size_factor": "ln(k * 20.0e0 + 1)", "temp_deviation": "abs(ta - 25)",
+    "sapwood_leaf_ratio": "(k * 15 + 5) / (CASE k WHEN 1 THEN 3.5e0 ELSE 0.0e0 END + 1e-6)",
+    "transpiration_capacity": "(k * 15 + 5) * ppfd_in / (vpd + 1e-6)",
+}
+_ABSENT = [c for c in (*align.EXPECTED, *align.SPARSE) if c not in (*_DRIVERS, *_FORMULAS)]
+_IDS = ("site", "ts", "plant_id", "solar_ts")
+
+
+def _digits(name: str) -> int:
+    """Means of values with few decimals end in a 5 after six digits, deviations and ratios differ after those."""
+    return 2 if name in ("sapwood_leaf_ratio", "transpiration_capacity") else 9 if "_mean_" in name else 6
+
+
+def _features_sql() -> str:
+    columns = {"sap_flow": "sap_flow", **{d: d for d in _DRIVERS}, **_WINDOWED, **_FORMULAS, **dict.fromkeys(_ABSENT, "CAST(NULL AS DOUBLE)")}
+    whole = {"hour", "day_of_year", "month", "year", "day_of_week", "is_daylight", "is_peak_sunlight", "is_weekend", "solar_hour", "solar_day_of_year"}
+    shown = [f"CAST({v} AS INTEGER) AS {c}" if c in whole else f"round({v}, {_digits(c)}) AS {c}" for c, v in columns.items()]
+    bad = "SELECT site, ts FROM flags WHERE kind = '{}' AND flag IN ('OUT_WARN', 'RANGE_WARN')"
+    return b.with_cte(
+        f"""SELECT {', '.join(_IDS)}, {', '.join(shown)} FROM joined JOIN sites USING (site)
         WINDOW w AS (PARTITION BY site, plant_id ORDER BY ts)""",
         "flow_wide",
         "env",
+        "flags",
         extra={
-            "flow": """SELECT site, ts, 'tree_1' AS plant_id, tree_1 AS sap_flow FROM flow_wide
-            UNION ALL SELECT site, ts, 'tree_2', tree_2 FROM flow_wide"""
+            "flow": """SELECT site, ts, 'tree_1' AS plant_id, 1 AS k, tree_1 AS sap_flow FROM flow_wide
+            UNION ALL SELECT site, ts, 'tree_2', 2, tree_2 FROM flow_wide""",
+            "joined": f"""SELECT flow.*, e.* EXCLUDE (site, ts), e.sw_in + 1 AS ppfd_in, ts + INTERVAL 20 MINUTES AS solar_ts
+            FROM flow JOIN env e USING (site, ts) WHERE sap_flow IS NOT NULL
+            AND (site, ts) NOT IN ({bad.format('env')}) AND (site, ts) NOT IN ({bad.format('sapf')})""",
+            "sites": """SELECT site, length(site) AS n, count(*) FILTER (WHERE length(site) <> 6) OVER () AS named,
+            CAST(count(*) FILTER (WHERE length(site) <> 6) OVER (ORDER BY upper(site)) - 1 AS DOUBLE) AS place
+            FROM (SELECT DISTINCT site FROM env) s""",
         },
-    ),
-)
-def feature_table_query(spark, sf_dir):
-    out = _features(spark, sf_dir).select(
-        "site", "ts", "plant_id", "sap_flow", "ta", "ta_lag_3h", "vpd_mean_12h", "sw_in_std_6h", "temp_deviation", "hour", "soil_depth"
     )
-    return rounded(out, "sap_flow", "ta", "ta_lag_3h", "vpd_mean_12h", "sw_in_std_6h", "temp_deviation")
+
+
+@query("feature_table", _features_sql())
+def feature_table_query(spark, sf_dir):
+    """All columns of the feature table, with flags, site and plant metadata."""
+    out = _features(spark, sf_dir)
+    doubles = [c for c, kind in out.dtypes if kind == "double"]
+    return out.withColumns({c: F.round(c, _digits(c)) for c in doubles})
 
 
 _KEPT = """SELECT site, count(*) AS n_rows FROM (SELECT site, tree_1 AS v FROM flow_wide UNION ALL SELECT site, tree_2 FROM flow_wide) f
@@ -244,20 +337,44 @@ _KEPT = """SELECT site, count(*) AS n_rows FROM (SELECT site, tree_1 AS v FROM f
 
 def _accepted(spark, sf_dir):
     path = scratch_path(spark, "features")
-    sinks.write_parquet(_features(spark, sf_dir), path)
+    # one column that should not be there, infinite in one site
+    odd = F.when(F.col("site") == "purchase", float("inf")).otherwise(F.col("ta"))
+    sinks.write_parquet(_features(spark, sf_dir, described=False).withColumn("netrad", odd), path)
     return ops.output_acceptance(spark.read.parquet(path), by=["site"])
 
 
 @query(
     "output_acceptance",
     b.with_cte(
-        "SELECT site, n_rows, true AS accepted, '' AS reported_columns, 0 AS infinite_columns FROM kept", "flow_wide", extra={"kept": _KEPT}
+        """SELECT site, n_rows, true AS accepted, 'netrad' AS reported_columns, CAST(site = 'purchase' AS INTEGER) AS infinite_columns
+        FROM kept""",
+        "flow_wide",
+        extra={"kept": _KEPT},
     ),
 )
 def output_acceptance(spark, sf_dir):
     return _accepted(spark, sf_dir).select("site", "n_rows", "accepted", "reported_columns", "infinite_columns")
 
 
+@query(
+    "mixed_format_scan",
+    b.with_cte(
+        """SELECT site, plant_id, ts, ta, CASE WHEN event_id % 3 = 0 THEN event_id END AS event_id, CASE WHEN event_id % 3 = 1 THEN 'late' END AS note
+        FROM series""",
+        "series",
+    ),
+)
+def mixed_format_scan(spark, sf_dir):
+    """A table a third of which is parquet and the rest CSV with two different headers, read as one."""
+    path = scratch_path(spark, "mixed")
+    rows = b.series(spark, sf_dir)
+    part = lambda k: rows.where(F.col("event_id") % 3 == k)
+    sinks.write_parquet(part(0), path)
+    sinks.write_csv(part(1).select("ta", "ts", "plant_id", "site", F.lit("late").alias("note")), path, mode="append")
+    sinks.write_csv(part(2).select("site", "ts", "ta", "plant_id"), path, compress=True, mode="append")
+    return files.read_table(spark, path).select("site", "plant_id", "ts", "ta", "event_id", "note")
+
+
 @query(
     "pending_sites",
     """SELECT DISTINCT l_suppkey AS site FROM lineitem WHERE l_suppkey NOT IN

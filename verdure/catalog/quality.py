@@ -82,6 +82,23 @@ def flag_filter_row(spark, sf_dir):
     return rounded(ops.drop_flagged_rows(_flow(spark, sf_dir), b.flags(spark, sf_dir)), "sap_flow")
 
 
+@query(
+    "flag_filter_required",
+    b.with_cte(
+        f"""SELECT site, ts, plant_id, round(sap_flow, 6) AS sap_flow FROM flow f WHERE NOT EXISTS
+        (SELECT 1 FROM checked g WHERE g.site = f.site AND g.ts = f.ts AND {_BAD})
+        AND EXISTS (SELECT 1 FROM checked g WHERE g.site = f.site AND g.ts = f.ts)""",
+        "flow_wide",
+        "flags",
+        extra={"flow": _FLOW_SQL, "checked": "SELECT * FROM flags WHERE kind = 'env'"},
+    ),
+)
+def flag_filter_required(spark, sf_dir):
+    """Readings without any flag row go too, as in an inner join of readings and flags."""
+    checked = b.flags(spark, sf_dir).where("kind = 'env'")
+    return rounded(ops.drop_flagged_rows(_flow(spark, sf_dir), checked, require_flags=True), "sap_flow")
+
+
 @query(
     "flag_filter_cell",
     b.with_cte(

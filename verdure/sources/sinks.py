@@ -35,9 +35,13 @@ def read_if_there(spark: SparkSession, path: str, schema: str | None = None) ->
         raise
 
 
+# Times keep their microseconds; the formats the writer takes by default end at milliseconds.
+_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
+
+
 def write_csv(df: DataFrame, path: str, by: Sequence[str] = ("site",), compress: bool = False, mode: str = "error"):
     """CSV with header, one folder per site, optionally gzipped."""
-    out = _balanced(df, *by).write.mode(mode).option("header", "true")
+    out = _balanced(df, *by).write.mode(mode).option("header", "true").options(**_TIMES)
     if compress:
         out = out.option("compression", "gzip")
     out.partitionBy(*by).csv(path)
@@ -48,7 +52,7 @@ def write_station_files(
 ):
     """One folder ``file=<site>_<kind>_<part>.csv`` per site, readable as a station archive."""
     named = df.withColumn("file", F.concat(F.col(site), F.lit(f"_{kind}_{part}.csv"))).drop(site)
-    out = _balanced(named, "file").write.mode("append").option("header", "true").option("nullValue", MISSING)
+    out = _balanced(named, "file").write.mode("append").option("header", "true").option("nullValue", MISSING).options(**_TIMES)
     if compress:
         out = out.option("compression", "gzip")
     out.partitionBy("file").csv(root)
