@@ -134,3 +134,14 @@ def test_number_words_and_units_of_four_languages():
         ("vio tres casas", "vio 9 casas"), ("elle dort 8 heures ici", "elle dort 3 jours ici"),
     ]:
         assert Templates(pa.array([a]), "folded").codes.tolist() == Templates(pa.array([b]), "folded").codes.tolist()
+
+
+def test_a_small_bitmap_lets_all_held_values_through(spark):
+    from verdure.llm.bitmaps import may_hold
+
+    held = spark.range(500).selectExpr("md5(cast(cast(id as string) as binary)) as digest")
+    every = spark.range(20_000).selectExpr("id", "md5(cast(cast(id as string) as binary)) as digest")
+    for bits in (6, 12, 20):
+        passed = {r.id for r in every.where(may_hold(held, "digest", bits)).collect()}
+        assert passed >= set(range(500)) and (bits < 20 or len(passed) < 600)
+    assert every.where(may_hold(held.limit(0), "digest")).count() == 0

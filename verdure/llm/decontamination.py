@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdure.llm import wordhash
-from verdure.llm.bitmaps import bitmap_of, passes
+from verdure.llm.bitmaps import bitmap_of, may_hold, passes
 from verdure.session import materialize
 
 # Words for numbers (without those that are articles too) and units that make a number a quantity, in
@@ -327,8 +327,14 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, **settings) ->
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` whose text holds no benchmark item, with all their columns; null and empty texts stay."""
-    held = contamination(docs, benchmark, **settings).select("digest").distinct()
+    """The rows of ``docs`` whose text holds no benchmark item, with all their columns; null and empty texts stay.
+
+    A bitmap of fixed size tells most rows that hold none; they are not shuffled. Whatever it lets through is joined.
+    """
+    held = materialize(contamination(docs, benchmark, **settings).select("digest").distinct(), "held")
     # whatever the columns of the input are called, they are carried along as one
     carried = docs.select(F.struct(*docs.columns).alias("row"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
-    return carried.join(held, "digest", "left_anti").select("row.*")
+    perhaps = may_hold(held, "digest")
+    free = carried.where(~perhaps)
+    checked = carried.where(perhaps).join(held, "digest", "left_anti").select("row", "digest")
+    return free.unionByName(checked).select("row.*")
