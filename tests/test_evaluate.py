@@ -95,7 +95,8 @@ def test_boosting_learns_and_keeps_ids(spark):
     )
     folds = [(f, F.col("block") < f, F.col("block") == f) for f in (1, 2)]
     settings = models.BoostSettings(rounds=8, bins=16, depth=3)
-    done, gains = models.cross_validate(df, ["x", "absent"], "y", ["id"], folds, settings, keep=["id"])
+    out = models.cross_validate(df, ["x", "absent"], "y", ["id"], folds, settings, keep=["id"])
+    done, gains = out.predictions, out.importances
     scores = {r.fold: r for r in models.score(done).collect()}
     assert scores[1].test_samples == 200 and scores[2].train_samples == 400
     # a third of the target's sign bit is not in the features
