@@ -12,6 +12,7 @@ plan as a literal: a thousandth of the corpus never does.
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -32,24 +33,26 @@ class Bloom:
     probes: int
 
     def passes(self, key: Column) -> Column:
-        bits = F.expr(f"array({','.join(f'{w}L' if w > -(1 << 63) else 'cast(-9223372036854775808 as bigint)' for w in self.words)})")
-        test = F.lit(True)
-        for k in range(self.probes):
-            place = _place(key, self.level, k, len(self.words) * 64)
+        # a constant, which the optimizer parses once and which stands in the plan once, however many probes there are
+        bits = F.from_json(F.lit(json.dumps(self.words)), "array<bigint>")
+        places = F.transform(F.sequence(F.lit(0), F.lit(self.probes - 1)), lambda k: _place(key, self.level, k, len(self.words) * 64))
+
+        def is_set(place: Column) -> Column:
             word = F.get(bits, F.shiftright(place, 6).cast("int"))
-            test = test & (F.call_function("shiftright", word, (place % 64).cast("int")) % 2 != 0)
-        return test
+            return F.call_function("shiftright", word, (place % 64).cast("int")) % 2 != 0
+
+        return F.forall(places, is_set)
 
 
-def _place(key: Column, level: int, probe: int, size: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(level), F.lit(probe)), F.lit(size).cast("long"))
+def _place(key: Column, level: int, probe: Column, size: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(level), probe), F.lit(size).cast("long"))
 
 
 def build_bloom(keys: DataFrame, level: int, count: int, rate: float) -> Bloom:
     """Filter over the column ``key``; ``count`` keys at a false positive rate of about ``rate``."""
     probes = max(1, round(-math.log2(rate)))
     n_words = max(1, math.ceil(-count * math.log(rate) / math.log(2) ** 2 / 64))
-    places = keys.select(F.explode(F.array(*[_place(F.col("key"), level, k, n_words * 64) for k in range(probes)])).alias("p"))
+    places = keys.select(F.explode(F.array(*[_place(F.col("key"), level, F.lit(k), n_words * 64) for k in range(probes)])).alias("p"))
     words = places.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
     found = {r.word: r.bits for r in words.collect()}  # as many rows as the filter has words
     return Bloom(level, tuple(found.get(w, 0) for w in range(n_words)), probes)
