@@ -122,3 +122,21 @@ def test_running_share_in_pieces(frame, monkeypatch):
     whole = quality.pareto(audit).first()
     monkeypatch.setattr(quality, "MAX_SERIES_ROWS", 2)
     assert quality.pareto(audit).first() == whole
+
+
+def test_a_mean_at_the_limit_is_not_above_it(spark):
+    rows = [("tie", v) for v in (0.01, 0.04, 0.1)] + [("high", v) for v in (0.01, 0.05, 0.1)] + [("odd", 1e-9), ("odd", 0.3)]
+    rows += [("nan", float("nan")), ("none", None), ("gap", None), ("gap", 0.06), ("low", 0.02)]
+    df = spark.createDataFrame(rows, "site string, v double").coalesce(1)
+    assert (0.01 + 0.04 + 0.1) / 3 > 0.05  # as doubles add up in this order
+    out = df.groupBy("site").agg(quality.mean_above("v", "0.05").alias("above"))
+    assert values(out.where("above"), "site") == [("gap",), ("high",), ("nan",), ("odd",)]
+
+
+def test_tier_union_query_at_the_limit(spark, tmp_path):
+    from verdure.catalog import quality as catalog
+
+    lines = spark.createDataFrame([(1, v, 1.0) for v in (0.01, 0.04, 0.1)] + [(2, 0.06, 1.0)], "l_suppkey long, l_discount double, l_quantity double")
+    lines.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(3, -1.0), (4, 1.0)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert values(catalog.tier_union(spark, str(tmp_path)), "site") == [(2,), (3,)]

@@ -286,6 +286,6 @@ def site_tier_filter(spark, sf_dir):
 )
 def tier_union(spark, sf_dir):
     lines = b.table(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "site")
-    sums = lines.groupBy("site").agg(F.avg("l_discount").alias("rate"), F.sum("l_quantity").alias("amount"))
+    sums = lines.groupBy("site").agg(ops.mean_above("l_discount", "0.05").alias("high_rate"), F.sum("l_quantity").alias("amount"))
     poor = b.table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("site"))
-    return ops.tier_union(sums.where("rate > 0.05"), sums.where("amount > 15500"), poor)
+    return ops.tier_union(sums.where("high_rate"), sums.where("amount > 15500"), poor)

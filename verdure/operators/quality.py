@@ -6,6 +6,7 @@ Flag tables are long: one row per site, time and data column, the flag null for
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -202,6 +203,17 @@ def exclude_sites(
     )
 
 
+def mean_above(value: str, limit: str) -> Column:
+    """Whether the mean of a double column, an aggregate, lies above ``limit``, a decimal number as text.
+
+    Values of up to six decimals are added as decimals, so that a mean at the limit is never above it, in whatever order
+    the rows come. Groups with values that are no such decimals are judged by their mean in doubles.
+    """
+    exact = F.col(value).try_cast("decimal(24,6)")
+    same = F.count_if(exact.cast("double") == F.col(value)) == F.count(value)
+    return F.when(same, F.sum(exact) > F.lit(Decimal(limit)) * F.count(value)).otherwise(F.avg(value) > float(limit))
+
+
 def tier_union(*tier_tables: DataFrame, site: str = "site") -> DataFrame:
     """Distinct sites listed in any of the tier tables."""
     return reduce(lambda a, b: a.union(b), [t.select(site) for t in tier_tables]).distinct()
