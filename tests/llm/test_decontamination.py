@@ -145,3 +145,18 @@ def test_a_small_bitmap_lets_all_held_values_through(spark):
         passed = {r.id for r in every.where(may_hold(held, "digest", bits)).collect()}
         assert passed >= set(range(500)) and (bits < 20 or len(passed) < 600)
     assert every.where(may_hold(held.limit(0), "digest")).count() == 0
+
+
+def test_work_arrays_are_bounded():
+    import tracemalloc
+
+    from verdure.llm.decontamination import _FORMS, _template_slices
+
+    batch = pa.record_batch({"text": [" ".join(f"Word{i % 97} w{i % 13}." for i in range(500)) + f" {n}" for n in range(1200)]})
+    assert batch.nbytes > 6_000_000
+    tracemalloc.start()
+    seen = sum(len(forms["folded"].windows(8)[2]) for part, forms in _template_slices(batch, _FORMS))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    whole = Templates(batch.column("text"), "folded")
+    assert seen == len(whole.windows(8)[2]) and peak < 250_000_000

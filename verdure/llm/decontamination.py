@@ -20,6 +20,7 @@ it lets through wrongly falls out in the join.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,8 @@ _TRIMMED = np.isin(np.arange(256), [ord(c) for c in "!\"#&'()*,-./:;<=>?@[\\]^_`
 _DIGIT = np.isin(np.arange(256), [*range(48, 58)])
 _JOINER = np.isin(np.arange(256), [ord(c) for c in ".,:/-"])
 _MEASURE = re.compile(rb"[$\xe2\x82\xac\xc2\xa3]*([0-9][0-9.,:/-]*)(.*)", re.S)
+# Text worked on at once: the work arrays take about 85 bytes a byte of it, and every core of an executor has its own.
+SLICE_BYTES = 1 << 20
 LEAST_TEMPLATE = 5  # tokens from which an item shorter than a window is looked for as a template too
 _FORMS = {"template": wordhash.mix(np.uint64([71]))[0], "folded": wordhash.mix(np.uint64([72]))[0]}
 
@@ -165,6 +168,13 @@ class Templates:
         return row, at - self.first[row], wordhash.mix(keys + np.uint64(size) + _FORMS[self.form])
 
 
+def _template_slices(batch: pa.RecordBatch, forms: Iterable[str]) -> Iterator[tuple[pa.RecordBatch, dict[str, Templates]]]:
+    """The batch in slices of bounded text, each with its templates."""
+    for part in wordhash.slices(batch, "text", SLICE_BYTES):
+        words = Words(part.column("text"))
+        yield part, {form: Templates(words, form) for form in forms}
+
+
 def _gathered(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
     """The byte ranges as one text each; empty ranges are left out."""
     full = end > begin
@@ -212,9 +222,7 @@ def contamination(
 
     def document_windows(batches):
         for batch in batches:
-            for part in wordhash.slices(batch, "text"):
-                words = Words(part.column("text"))
-                forms = {form: Templates(words, form) for form in dict(kinds)}
+            for part, forms in _template_slices(batch, dict(kinds)):
                 for form, length in kinds:
                     row, start, key = forms[form].windows(length, form == "folded" and length < size)
                     hit = passes(shared.value, key)
