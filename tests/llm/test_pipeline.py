@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -14,6 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from verdure.llm.decontamination import contaminated_documents
+from verdure.session import scratch_path
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -143,3 +145,27 @@ def test_the_last_stage_takes_odd_and_empty_tables(spark):
     out = STAGES["tokens"](spark, docs, SF)
     assert out.count() == docs.count()
     assert STAGES["tokens"](spark, docs.limit(0), SF).count() == 0
+
+
+def scratch(spark):
+    """Names of the tables in the scratch folder."""
+    folder = Path(scratch_path(spark, "x")).parent
+    return {p.name for p in folder.iterdir()} if folder.exists() else set()
+
+
+def test_near_duplicates_leaves_no_large_table_behind(spark):
+    before = scratch(spark)
+    STAGES["near_duplicates"](spark, table(spark, "documents"), SF).collect()
+    left = [name.rsplit("-", 1)[0] for name in scratch(spark) - before]
+    assert not {"levels", "sets", "classes", "shared", "candidates", "members"} & set(left)
+    assert left.count("star") <= 2  # the last round of each call of components
+
+
+def test_near_duplicates_with_repeated_and_null_ids_of_any_integer_type(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text), (2, text + " x"), (2, text + " x"), (2, "something else"), (3, "alone here"), (None, text), (None, None), (4, None)]
+    for kind in ("int", "long"):
+        docs = spark.createDataFrame(rows, f"doc_id {kind}, text string")
+        got = STAGES["near_duplicates"](spark, docs, SF)
+        assert got.schema == docs.schema
+        assert rows_of(got) == sorted([rows[0], *rows[4:]], key=repr)

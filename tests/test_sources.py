@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 from pathlib import Path
 
@@ -13,7 +15,7 @@ from pyspark.sql import types as T
 
 from verdure.operators import profile
 from verdure.plans import bindings, feature_table
-from verdure.session import clear_scratch, scratch_path
+from verdure.session import clear_scratch, discard, materialize, scratch_path
 from verdure.sources import files, sinks, stations
 from verdure.streaming import jobs
 
@@ -367,6 +369,36 @@ def test_scratch_can_be_cleared(spark):
     assert not Path(folder).exists()
 
 
+def shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {p for folder in folders for p in Path(folder).rglob("shuffle_*")}
+
+
+def test_what_is_written_leaves_no_shuffle_files(spark):
+    key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", shuffle_files(spark)
+    setting = spark.conf.get(key, None)
+
+    def one(k):
+        return materialize(spark.range(1000).groupBy((F.col("id") % 7 + k).alias("k")).count(), "x")
+
+    with ThreadPoolExecutor(4) as pool:
+        tables = list(pool.map(one, range(8)))
+    assert [sorted(r.k for r in t.collect()) for t in tables] == [list(range(k, k + 7)) for k in range(8)]
+    # they are removed in the background
+    for _ in range(50):
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before
+    assert spark.conf.get(key, None) == setting
+
+
+def test_written_tables_can_be_discarded(spark):
+    kept, gone = (materialize(spark.range(n), "x") for n in (3, 4))
+    discard(gone)
+    assert kept.count() == 3 and not Path(gone._scratch.removeprefix("file:")).exists()
+
+
 def test_counts_of_sites_that_arrive_out_of_time_order(spark, tmp_path):
     arriving, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
     schema = T.StructType([T.StructField("site", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("flag", T.StringType())])

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from verdure.llm import wordhash
 from verdure.llm.bitmaps import bitmap_of, passes
 from verdure.llm.components import components
-from verdure.session import materialize
+from verdure.session import discard, materialize
 
 CELLS = 1 << 20  # counters of the sketch, one byte each at the driver
 TILE = 1 << 19  # n-grams of one chunk of a candidate group
@@ -68,9 +68,9 @@ def jaccard_join(docs: DataFrame, words: int = 3, numerator: int = 9, denominato
                 )
 
     sets = docs.mapInArrow(sets_of, "doc_id long, n_shingles long, sig binary, profile binary, prefix array<long>")
-    sets = materialize(sets, "sets")
+    wide = materialize(sets, "sets")
     classes = (
-        sets.where("doc_id is not null and n_shingles > 0")
+        wide.where("doc_id is not null and n_shingles > 0")
         .groupBy("sig")
         .agg(
             F.min("doc_id").alias("first_id"),
@@ -81,9 +81,16 @@ def jaccard_join(docs: DataFrame, words: int = 3, numerator: int = 9, denominato
         )
     )
     classes = materialize(classes, "classes")
-    groups = components(_candidates(classes, levels, numerator, denominator))
-    members = classes.drop("prefix", "profile").withColumn("node", _short("sig")).join(groups, "node").drop("node")
+    # prefixes and profiles take most of the disk, and are deleted as soon as nothing reads them any more
+    sets = materialize(wide.drop("prefix", "profile"), "ids")
+    discard(wide)
+    pairs = _candidates(classes, levels, numerator, denominator)
+    groups = components(pairs)
+    wide, classes = classes, materialize(classes.drop("prefix", "profile"), "counts")
+    discard(pairs, wide)
+    members = materialize(classes.withColumn("node", _short("sig")).join(groups, "node").drop("node"), "members")
     linked = materialize(_join_groups(docs, members, words, numerator, denominator), "links")
+    discard(members)
     roots = components(linked.select(F.col("sig").alias("a"), F.col("peer").alias("b")))
     found = linked.groupBy("sig").agg(F.sum("links").alias("links")).join(roots.withColumnRenamed("node", "sig"), "sig")
     lead = found.join(classes.select("sig", "first_id"), "sig").groupBy("root").agg(F.min("first_id").alias("lead"))
@@ -95,8 +102,8 @@ def jaccard_join(docs: DataFrame, words: int = 3, numerator: int = 9, denominato
         "copies",
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
     )
-    grouped = sets.drop("prefix", "profile").where("doc_id is not null and n_shingles > 0").join(classes, "sig")
-    alone = sets.drop("prefix", "profile").where("doc_id is null or n_shingles = 0")
+    grouped = sets.where("doc_id is not null and n_shingles > 0").join(classes, "sig")
+    alone = sets.where("doc_id is null or n_shingles = 0")
     return grouped.select(
         "doc_id",
         "n_shingles",
@@ -167,8 +174,10 @@ def _frequency_levels(docs: DataFrame, words: int) -> np.ndarray:
 
     blocks = docs.select("text").mapInArrow(count, "block long, counts binary").repartition(16, "block")
     levels = np.zeros(CELLS, np.uint8)
-    for row in blocks.mapInArrow(total, "block long, level binary").collect():
+    counted = materialize(blocks.mapInArrow(total, "block long, level binary"), "levels")
+    for row in counted.collect():
         levels[row.block * _BLOCK : (row.block + 1) * _BLOCK] = np.frombuffer(row.level, np.uint8)
+    discard(counted)
     return levels
 
 
@@ -195,7 +204,7 @@ def _short(sig: str) -> Column:
 
 
 def _candidates(classes: DataFrame, levels, numerator: int, denominator: int) -> DataFrame:
-    """Edges that connect all classes which share a prefix element and may be linked by size and profile.
+    """Edges, written, that connect all classes which share a prefix element and may be linked by size and profile.
 
     Sizes fall into bands one threshold wide, so linked sets lie in the same band or in neighbouring ones. Classes with
     a hot element are connected without a look at their profiles.
@@ -229,7 +238,9 @@ def _candidates(classes: DataFrame, levels, numerator: int, denominator: int) ->
     cold = cold.join(named.select("node", "n", "profile"), "node").select("token", "band", "node", "n", "profile")
     alike = cold.repartition("token").mapInArrow(compare, "a long, b long, need long")
     alike = alike.groupBy("a", "b").agg(F.min("need").alias("need"), F.count("*").alias("n")).where("n >= need")
-    return hot.unionByName(alike.select("a", "b")).distinct()
+    pairs = materialize(hot.unionByName(alike.select("a", "b")).distinct(), "candidates")
+    discard(shared)
+    return pairs
 
 
 def _shared(batches):
@@ -318,7 +329,6 @@ def _alike(token, band, node, n, profile, numerator, denominator) -> tuple[np.nd
 
 def _join_groups(docs: DataFrame, members: DataFrame, words: int, numerator: int, denominator: int) -> DataFrame:
     """``sig, peer, links`` per class and task: the links found there and a class of the same component."""
-    members = materialize(members, "members")
     sizes = members.groupBy("root").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("chunks"))
     members = members.join(sizes, "root").select(
         F.col("first_id").alias("doc_id"),
