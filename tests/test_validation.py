@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import threading
+import time
 from datetime import datetime
 
 import pytest
@@ -106,3 +108,35 @@ def test_curves_of_every_fold(hourly):
 def test_unknown_scheme(hourly):
     with pytest.raises(ValueError, match="unknown scheme"):
         validation.label(hourly, "other", ["id"])
+
+
+def test_folds_train_side_by_side_only_if_memory_holds_them(spark, hourly, monkeypatch):
+    room = models.trainings_at_once(spark, 1, 10**12) * models.ROW_BYTES
+    rows = room // models.ROW_BYTES
+    assert [models.trainings_at_once(spark, n, 4) for n in (0, rows // 5, rows // 3, rows, 100 * rows)] == [4, 4, 3, 1, 1]
+
+    running, most, lock, fit = [0], [0], threading.Lock(), models.fit
+
+    def watched(*args):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        time.sleep(0.5)
+        try:
+            return fit(*args)
+        finally:
+            with lock:
+                running[0] -= 1
+
+    monkeypatch.setattr(models, "fit", watched)
+    labelled = hourly.withColumn("block", (F.col("id") / 1600).cast("int"))
+    folds = [(f, F.col("block") < f, F.col("block") == f) for f in (1, 2)]
+    found = []
+    # all rows as small as they are, and so large that no two folds fit
+    for size, at_once in ((models.ROW_BYTES, 2), (room // 1000, 1)):
+        monkeypatch.setattr(models, "ROW_BYTES", size)
+        most[0] = 0
+        done = models.cross_validate(labelled, ["x"], "y", ["id"], folds, SETTINGS, keep=["id"])
+        found.append(values(done.predictions, "fold", "id", "part", "actual", "predicted"))
+        assert most[0] == at_once
+    assert found[0] == found[1] and len(found[0]) == (1 + 1 + 2 + 1) * 1600
